@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import packing, substrings, token_store
 from .common import table
 
 
@@ -22,8 +22,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that came before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, size=20, texts=False)
+
+
 QUERIES = {
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
