@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, substrings, token_store
+from . import packing, simhash, substrings, token_store
 from .common import table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, shingle=3)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from a content-addressed store."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +34,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
