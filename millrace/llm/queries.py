@@ -4,16 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings, token_store
+from . import decontaminate, langid, packing, pii, quality, simhash, substrings, token_store
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items every document holds, and how many of its words they hit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.add_hits(docs, table(spark, sf_dir, "benchmark"), size=8)
+    names = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("hits.n_words").alias("n_words"),
+        decontaminate.hit_words(F.col("hits.spans")).alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated("hits", 2).alias("contaminated"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality figures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, shingle=3)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("found", pii.pseudonymise(F.col("text")))
+    counts = [F.expr(f"cast(size(filter(found.finds, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", F.col("found.text").alias("text"), *counts)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from a content-addressed store."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,10 +63,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, size=20, texts=False)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op6_pii": op6_pii,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_language": op10_language,
 }
 ORACLE_SQL: dict[str, str] = {}
