@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, simhash, substrings, token_store
+from . import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, token_store
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; a row's source is its repository and owner."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.scan(docs, owner="source", repository="source")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality figures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op6_pii": op6_pii,
