@@ -1,16 +1,77 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing.
+
+Each stage is a function of (session, documents, folder of the other tables)
+and works on all that the stage before it kept; its result is written as
+Parquet and read again. The first four return the columns of ``documents``,
+the last the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, packing, pii, quality, simhash
+from millrace.llm.common import materialize, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the rules or the likelihood ratio reject."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), prefix="__q_")
+    return judged.where("__q_kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component, the one with the smallest id.
+
+    A row without an id links nothing and stays; of rows that repeat the
+    smallest id one stays.
+    """
+    found = simhash.near_duplicates(docs, radius=3, shingle=3)
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    keep = materialize(keep, "keep")
+    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__id"))
+    if keep.where("__n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold windows of two benchmark items or more."""
+    found = decontaminate.add_hits(docs, table(spark, sf_dir, "benchmark"), size=8, hits="__hits")
+    return found.where(~decontaminate.contaminated("__hits", 2)).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put pseudonyms in place of personal data; n_chars follows the new text."""
+    new = docs.withColumn("__new", pii.pseudonymise(F.col("text"))).withColumn("text", F.col("__new.text"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return new.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document, in sequences of 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Hashes and fingerprints of the stages have no counterpart in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``, each over what the last one wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, token_store
+from . import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, token_store, urls
 from .common import table
 
 
@@ -42,6 +42,31 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, shingle=3)
 
 
+#: A dated list for the test pages (rule, action, effective): fixed values.
+URL_LIST = [
+    ("spam-farm.example.org", "block", "2024-02-01"),
+    ("spam-farm.example.org", "drop", "2024-10-01"),
+    ("cheap-pills.example.com", "block", "2024-01-15"),
+    ("example.net", "block", "2024-06-01"),
+    ("blog.example.net", "allow", "2024-06-01"),
+    ("example.net/en", "allow", "2024-07-01"),
+    ("example.net", "drop", "2024-09-01"),
+    ("example.com/fr", "block", "2024-03-01"),
+    ("example.com/fr", "allow", "2024-05-01"),
+    ("example.org", "allow", "2024-01-01"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list's verdict on every page; pages carry no fetch time, so the id's day of 2024 stands for it."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched"))
+    entries = spark.createDataFrame(URL_LIST, "rule string, action string, day string")
+    entries = entries.select("rule", "action", F.col("day").cast("date").alias("effective"))
+    return urls.judge(captures, entries).withColumnRenamed("capture_id", "page_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,10 +104,58 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, least(8, len(ws)) AS n, array_to_string(ws[i:i + 7], ' ') AS w
+  FROM b, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) t(i) WHERE len(ws) > 0
+),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, s.n AS n, i, array_to_string(ws[i:i + s.n - 1], ' ') AS w
+  FROM d, sizes s, unnest(range(1, len(ws) - s.n + 2)) t(i) WHERE len(ws) >= s.n
+),
+hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.w = bw.w AND dw.n = bw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+_LIST = ", ".join(f"('{r}', '{a}', DATE '{d}')" for r, a, d in URL_LIST)
+_OP5_SQL = f"""
+WITH entries(rule, action, since) AS (VALUES {_LIST}),
+valid AS (SELECT *, lead(since) OVER (PARTITION BY rule ORDER BY since) AS until FROM entries),
+c AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) || '/', '/+', '/', 'g') AS path
+  FROM pages
+),
+m AS (
+  SELECT c.page_id, v.rule, v.action FROM c JOIN valid v
+  ON ('.' || c.host) LIKE ('%.' || split_part(v.rule, '/', 1))
+  AND starts_with(c.path, substr(v.rule, length(split_part(v.rule, '/', 1)) + 1) || '/')
+  AND v.action <> 'drop' AND c.fetched >= v.since AND (v.until IS NULL OR c.fetched < v.until)
+),
+best AS (
+  SELECT page_id, rule, action, row_number() OVER (PARTITION BY page_id
+    ORDER BY length(split_part(rule, '/', 1)) DESC, length(rule) DESC, action = 'block' DESC, rule DESC) AS k FROM m
+)
+SELECT c.page_id, c.url, c.fetched, b.action, b.rule, coalesce(b.action <> 'block', true) AS kept
+FROM c LEFT JOIN best b ON b.page_id = c.page_id AND b.k = 1
+"""
+ORACLE_SQL = {"op1_decontamination": _OP1_SQL, "op5_url_filter": _OP5_SQL}
