@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_shift, mix64, new_path, shuffle_partitions, window_hashes
+from .common import crc_shift, new_path, shuffle_partitions
 from .tokens import encoder
 
 #: Chunk lengths in ids: none is cut shorter, about this many on average, none is longer.
@@ -47,24 +47,35 @@ def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of one stream's chunks."""
-    n = len(ids)
+def boundaries(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ``WINDOW`` ids asks for a cut: ends, rising."""
+    if len(ids) < WINDOW:
+        return np.empty(0, np.int64)
+    h = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    width = 1
+    while width < WINDOW:
+        h = h[:-width] * np.uint32(0x85EBCA6B) + h[width:]
+        width *= 2
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0xC2B2AE35)
+    return np.flatnonzero(h < np.uint32((1 << 32) // (MEAN - LEAST))) + WINDOW
+
+
+def cuts(n: int, asked: list[int]) -> list[int]:
+    """The ends of the chunks of a stream of ``n`` ids, given where cuts are asked for."""
     out: list[int] = []
     last = 0
-    if n > LEAST:
-        h = window_hashes(mix64(ids.astype(np.uint64) + np.uint64(1)), WINDOW)
-        for p in (np.flatnonzero(h % np.uint64(MEAN - LEAST) == 0) + WINDOW).tolist():
-            while p - last > MOST:
-                last += MOST
-                out.append(last)
-            if p - last >= LEAST and p < n:
-                out.append(p)
-                last = p
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, n]
+    for p in [*asked, n]:
+        while p - last > MOST:
+            last += MOST
+            out.append(last)
+        if p == n or (p - last >= LEAST and p < n):
+            out.append(p)
+            last = p
+            if p == n:
+                break
+    return out
 
 
 def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int) -> Iterator[pa.RecordBatch]:
@@ -78,10 +89,17 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int)
             chunks: list[tuple[bytes, int, bytes]] = []
             docs: list[bytes] = []
             lengths: list[int] = []
-            for text in part["text"].to_pylist():
-                data = enc.encode(text) + tail
+            streams = [enc.encode(text) + tail for text in part["text"].to_pylist()]
+            sizes = np.array([len(d) // size for d in streams], np.int64)
+            ends = np.cumsum(sizes)
+            asked = boundaries(np.frombuffer(b"".join(streams), width))
+            owner = np.searchsorted(ends, asked, "left")
+            inner = asked - (ends - sizes)[owner]
+            whole = inner >= WINDOW  # a hash that reaches into the stream before doesn't count
+            asked, owner = inner[whole].tolist(), np.searchsorted(owner[whole], np.arange(len(streams) + 1)).tolist()
+            for k, data in enumerate(streams):
                 refs, last = [], 0
-                for e in cuts(np.frombuffer(data, width)):
+                for e in cuts(len(data) // size, asked[owner[k] : owner[k + 1]]):
                     piece = data[last * size : e * size]
                     a = address(piece)
                     refs.append(a + (e - last).to_bytes(4, "little"))

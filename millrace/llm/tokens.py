@@ -21,6 +21,9 @@ _PLAIN = re.compile(r"[\x20-\x7e\nÀ-įı-ſ]*")
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
+#: Punctuation that a split leaves in one piece of its own after a word; no apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: The split patterns of the two published vocabularies.
 SPLITS = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
@@ -96,6 +99,9 @@ class Encoder:
 
     def _tail(self, part: str) -> bytes:
         """The ids of a part that a single blank or line end sets off from the one before."""
+        core = part.rstrip(_MARKS)
+        if core != part and core.isalpha() and _PLAIN.fullmatch(core):
+            return self.tails[core] + self.marks[part[len(core) :]]
         return self._ids(part if self.words or part[:1] == "\n" else " " + part)
 
     def encode(self, text: str | None) -> bytes:
