@@ -167,6 +167,34 @@ def test_match_recognize(spark):
     assert rows(to_next.where("p = 1").select("start")) == [(0,), (1,), (3,)]
 
 
+def test_match_recognize_text(spark):
+    spark.createDataFrame([(1, k, v) for k, v in enumerate([5, 6, 7, 3, 4, 2, 9])], "p int, o int, v int").createOrReplaceTempView("prices")
+    clause = """MATCH_RECOGNIZE (PARTITION BY p ORDER BY o
+      MEASURES FIRST(S.v) AS first_v, LAST(UP.v) AS peak, COUNT(UP.*) AS ups, MATCH_NUMBER() AS n
+      {skip} PATTERN (S UP+ DOWN) DEFINE UP AS v > PREV(v), DOWN AS DOWN.v < PREV(v))"""
+    out = dialect.run(spark, f"SELECT * FROM prices {clause.format(skip='')}")
+    assert out.columns == ["p", "first_v", "peak", "ups", "n"] and rows(out) == [(1, 5, 7, 2, 1)]
+    out = dialect.run(spark, f"FROM prices |> {clause.format(skip='AFTER MATCH SKIP TO NEXT ROW')} |> SELECT first_v")
+    assert rows(out) == [(3,), (5,), (6,)]
+
+
+def test_time_tables_and_star_replace(spark):
+    q = "SELECT TIMESTAMP '2024-01-01 00:07:00' AS ts, 1 AS x"
+    spark.sql(q).createOrReplaceTempView("one")
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    got = dialect.run(spark, "SELECT window_start, window_end FROM TUMBLE(TABLE one, 'ts', INTERVAL 5 MINUTE)")
+    assert rows(got) == [(at(0, 5), at(0, 10))]
+    got = dialect.run(spark, "SELECT window_start FROM HOP(TABLE one, 'ts', INTERVAL 10 MINUTE, INTERVAL 5 MINUTE)")
+    assert rows(got) == [(at(0, 0),), (at(0, 5),)]
+    got = dialect.run(spark, "SELECT * REPLACE (x + 1 AS x) FROM one WHERE x = 1")
+    assert got.columns == ["ts", "x"] and rows(got) == [(at(0, 7), 2)]
+    ranges = "SELECT * FROM VALUES (1, named_struct('start', DATE'2024-01-01', 'end', DATE'2024-01-03')), (1, named_struct('start', DATE'2024-01-03', 'end', DATE'2024-01-05')), (1, named_struct('start', DATE'2024-01-09', 'end', NULL)) AS t(k, r)"
+    spark.sql(ranges).createOrReplaceTempView("ranges")
+    got = dialect.run(spark, "SELECT DISTINCT session_range.start AS a, session_range.end AS b FROM RANGE_SESSIONIZE(TABLE ranges, 'r', ['k'])")
+    d = lambda n: datetime.date(2024, 1, n)
+    assert rows(got) == sorted([(d(1), d(5)), (d(9), None)], key=repr)
+
+
 def test_graph(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     r = random.Random(4)
