@@ -1,6 +1,6 @@
 """Language identification by nearest centroid (operator 10).
 
-A text becomes a vector of its lower-cased byte trigrams, hashed into ``dims``
+A text becomes a vector of the byte trigrams of its lower-cased words, hashed into ``dims``
 buckets, weighted log(1 + tf) * idf and scaled to length one. Each language has
 several centroids, found by spherical k-means over a bounded sample of its
 rows. A text goes to the language of the centroid nearest by cosine; ``score``
@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+#: ASCII other than letters is no sign of a language: blanks, which then run together.
+_BLANKED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def buckets(text: str, dims: int) -> np.ndarray:
-    """How often each hashed trigram occurs in the whole text."""
-    b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
+    """How often each hashed trigram of letters and word ends occurs in the whole text."""
+    plain = b" ".join(text.lower().encode().translate(_BLANKED).split())
+    b = np.frombuffer(b" " + plain + b" ", np.uint8).astype(np.uint32)
     key = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     key *= np.uint32(2654435761)
     key >>= np.uint32(32 - (dims.bit_length() - 1))
