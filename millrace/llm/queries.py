@@ -158,4 +158,65 @@ best AS (
 SELECT c.page_id, c.url, c.fetched, b.action, b.rule, coalesce(b.action <> 'block', true) AS kept
 FROM c LEFT JOIN best b ON b.page_id = c.page_id AND b.k = 1
 """
-ORACLE_SQL = {"op1_decontamination": _OP1_SQL, "op5_url_filter": _OP5_SQL}
+_KEYWORD_SQL = secrets.BASE["assign"][0].replace("'", "''")
+_PROVIDER_SQL = secrets.MORE["provider"][0]
+
+
+def _finds(kind: str, pattern: str, group: int, keep: str) -> str:
+    """SQL for the finds of one kind: place, value and kind of each match that is kept."""
+    return f"""
+  SELECT doc_id, source, {secrets.KINDS.index(kind)} AS rank, '{kind}' AS kind, v[i] AS value,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a,
+    length(m[i]) AS n
+  FROM (SELECT doc_id, source, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+    string_split_regex(t, '{pattern}') AS g FROM d), unnest(range(1, len(m) + 1)) u(i)
+  WHERE {keep}"""
+
+
+_OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join([
+    _finds("assign", _KEYWORD_SQL, 2, "length(v[i]) >= 12"),
+    _finds("access", secrets.BASE["access"][0], 0, "true"),
+    _finds("hex", secrets.BASE["hex"][0], 0, "true"),
+    _finds("short", _KEYWORD_SQL, 2, "length(v[i]) BETWEEN 8 AND 11 AND regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')"),
+    _finds("provider", _PROVIDER_SQL, 0, "true"),
+])}),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
+j AS (SELECT f.*, owners, rank < {len(secrets.BASE)} AS base, kind || ':' || a || ':' || (a + n) AS span FROM f JOIN o USING (value)),
+s AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, rank) FILTER (base) AS bases,
+    string_agg(span, ',' ORDER BY a, rank) FILTER (base OR owners <= {secrets.MOST_OWNERS}) AS spans,
+    count(*) FILTER (owners <= {secrets.MOST_OWNERS}) AS n_owner_specific, count(*) FILTER (owners > {secrets.MOST_OWNERS}) AS n_copied,
+    max(owners) AS most_owners FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owner_specific, 0) AS n_owner_specific,
+  coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_owners, 0) AS most_repositories
+FROM d LEFT JOIN s USING (doc_id)
+"""
+_OP9_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k
+  FROM w, unnest(range(1, len(ws) - 18)) t(i) WHERE len(ws) >= 20
+),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+),
+cov AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(i, i + 20)) u(p)),
+pos AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) t(p)),
+kept AS (
+  SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.p) FILTER (cov.p IS NULL) AS k, count(cov.p) AS n_removed
+  FROM pos LEFT JOIN cov ON pos.doc_id = cov.doc_id AND pos.p = cov.p GROUP BY pos.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+ORACLE_SQL = {
+    "op1_decontamination": _OP1_SQL,
+    "op2_secrets": _OP2_SQL,
+    "op5_url_filter": _OP5_SQL,
+    "op9_substring_dedup": _OP9_SQL,
+}

@@ -44,7 +44,7 @@ _PROVIDER = (
 MORE = {"short": (_KEYWORD, 2, 8, 11), "provider": (_PROVIDER, 0, 8, 1 << 30)}
 #: A value with more distinct owners than this is a copied example.
 MOST_OWNERS = 2
-_KINDS = [*BASE, *MORE]
+KINDS = [*BASE, *MORE]
 
 
 def found(text: Column, pattern: str, group: int, kind: str) -> Column:
@@ -61,7 +61,7 @@ def found(text: Column, pattern: str, group: int, kind: str) -> Column:
         last = start + F.length(x["m"])
         one = F.struct(
             start.alias("start"),
-            F.lit(_KINDS.index(kind)).alias("rank"),
+            F.lit(KINDS.index(kind)).alias("rank"),
             last.alias("last"),
             x["v"].alias("value"),
             F.lit(kind).alias("kind"),
@@ -92,7 +92,7 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     _, _, low, high = MORE["short"]
     short = F.filter("assigned", lambda x: F.length(x["value"]).between(low, high) & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
     as_short = F.transform(
-        short, lambda x: x.withField("rank", F.lit(_KINDS.index("short"))).withField("kind", F.lit("short"))
+        short, lambda x: x.withField("rank", F.lit(KINDS.index("short"))).withField("kind", F.lit("short"))
     )
     kinds = {"assign": F.filter("assigned", lambda x: F.length(x["value"]) >= BASE["assign"][2])}
     for k in ("access", "hex"):
