@@ -9,9 +9,10 @@ aggregations over the matched rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,39 +210,53 @@ def match_rows(
         mask = mask + F.when(F.col(f"__is_{i}"), F.lit(1 << i)).otherwise(F.lit(0))
     rows = rows.withColumn("__rn", F.row_number().over(w)).withColumn("__bits", mask)
     rows = rows.drop(*[f"__is_{i}" for i in symbols.values()])
-    keys = list(partition_by)
+    past = after.lower() == "past last row"
     schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField("__rn", T.IntegerType()), T.StructField("match_number", T.LongType())]
-        + [T.StructField("match_row_number", T.LongType()), T.StructField("classifier", T.StringType())]
+        [
+            *df.schema.fields,
+            T.StructField("match_number", T.LongType()),
+            T.StructField("match_row_number", T.LongType()),
+            T.StructField("classifier", T.StringType()),
+        ]
     )
-    past = after.lower() == "past last row"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rn")
-        bits = pdf["__bits"].tolist()
-        out, at, number = [], 0, 0
-        while at < len(bits):
-            got = find(code, bits, symbols, at, longest)
-            if got:
-                number += 1
-                out += [(at + k + 1, number, k + 1, s) for k, s in enumerate(got)]
-            at += max(1, len(got or ())) if past else 1
-        res = pd.DataFrame(out, columns=["__rn", "match_number", "match_row_number", "classifier"])
-        for i, k in enumerate(keys):
-            res.insert(i, k, pdf[k].iloc[0] if len(pdf) else None)
-        return res
-
-    slim = rows.select(*keys, "__rn", "__bits")
-    if keys:
-        found = slim.groupBy(*keys).applyInPandas(run, schema)
-    else:
-        found = slim.groupBy(F.lit(0).alias("__all")).applyInPandas(lambda p: run(p.drop(columns="__all", errors="ignore")), schema)
-    cond = F.col("l.__rn") == F.col("r.__rn")
-    for k in keys:
-        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    met = rows.alias("l").join(found.alias("r"), cond)
-    return met.select(*[f"l.{c}" for c in df.columns], "match_number", "match_row_number", "classifier")
+    def solve(t: pa.Table) -> pa.Table:
+        """The matched rows of whole partitions, which begin where __rn is 1."""
+        begin = np.flatnonzero(t["__rn"].to_numpy() == 1).tolist()
+        bits = t["__bits"].to_pylist()
+        at_rows, numbers, places, names = [], [], [], []
+        for a, b in zip(begin, [*begin[1:], len(bits)], strict=True):
+            part, at, number = bits[a:b], 0, 0
+            while at < len(part):
+                got = find(code, part, symbols, at, longest)
+                if got:
+                    number += 1
+                    at_rows += range(a + at, a + at + len(got))
+                    numbers += [number] * len(got)
+                    places += range(1, len(got) + 1)
+                    names += got
+                at += max(1, len(got or ())) if past else 1
+        out = t.drop_columns(["__rn", "__bits"]).take(pa.array(at_rows, pa.int64()))
+        out = out.append_column("match_number", pa.array(numbers, pa.int64()))
+        out = out.append_column("match_row_number", pa.array(places, pa.int64()))
+        return out.append_column("classifier", pa.array(names, pa.string()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last partition's rows, until the next one begins
+        for rb in batches:
+            t = pa.Table.from_batches([rb])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not len(t):
+                continue
+            last = int(np.flatnonzero(t["__rn"].to_numpy() == 1)[-1])
+            if last:
+                yield from solve(t.slice(0, last)).to_batches()
+            held = t.slice(last)
+        if held is not None:
+            yield from solve(held).to_batches()
+
+    # A window's output comes partition by partition, in order: no further shuffle or sort.
+    return rows.select(*df.columns, "__rn", "__bits").mapInArrow(run, schema)
 
 
 def match_recognize(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], pattern: str, define: Mapping[str, Column], measures: Mapping[str, Column], **how) -> DataFrame:
