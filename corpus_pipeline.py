@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(docs, radius=3, shingle=3)
     keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     keep = materialize(keep, "keep")
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__id"))
+    # Shuffled at every size: what is kept grows with the input.
+    kept = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
     if keep.where("__n > 1").limit(1).count():
         kept = kept.dropDuplicates(["__id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
