@@ -10,6 +10,8 @@ documents reachable from each other form a component, named by its smallest
 * The 64 bits fall into ``radius + 2`` blocks. Fingerprints within the radius
   agree on two whole blocks at least, so each goes to one bucket for every
   pair of blocks, keyed by those 25 or 26 bits.
+* A bucket with a thousandth of all rows is hot: what its fingerprints leave
+  open is cut into blocks once more, and its rows are dealt by two of those too.
 * A bucket is compared in blocks of lanes: bit planes are stored vertically,
   one machine word holding one bit of 64 fingerprints; distances are counted
   by carry-save adders for all lanes at once; a block is abandoned as soon as
@@ -37,9 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, run_starts, shuffle_partitions
+from .common import lookup, materialize, shuffle_partitions
 
 _LANES = 2048
+#: Buckets of fewer fingerprints are compared as they are.
+HOT_BUCKET = 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -148,52 +152,77 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    if n < 48:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        pairs: Iterable = [np.nonzero(np.triu(near, 1))]
-    else:
-
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i in range(0, n, _LANES):
-                planes, lanes = bit_planes(fps[i : i + _LANES]), min(_LANES, n - i)
-                for j in range(i, n, 256):
-                    a, b = close_lanes(planes, lanes, fps[j : j + 256], radius)
-                    a, b = a + j, b + i
-                    yield a[a > b], b[a > b]
-
-        pairs = blocks()
-    for a, b in pairs:
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             rx, ry = find(x), find(y)
             if rx != ry:
                 root[max(rx, ry)] = min(rx, ry)
                 out.append((x, y))
+
+    if n < 48:
+        join(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1)))
+        return out
+    for i in range(0, n, _LANES):
+        planes, lanes = bit_planes(fps[i : i + _LANES]), min(_LANES, n - i)
+        for j in range(i, n, 256):
+            a, b = close_lanes(planes, lanes, fps[j : j + 256], radius)
+            a, b = a + j, b + i
+            if not len(a):
+                continue
+            # Of the pairs that would join the same two trees, one is enough.
+            seen = np.array([find(x) for x in [*range(j, min(j + 256, n)), *range(i, i + lanes)]])
+            ra, rb = seen[a - j], seen[b - i + min(256, n - j)]
+            low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+            new = np.flatnonzero(low != high)
+            one = new[np.unique(low[new] * n + high[new], return_index=True)[1]]
+            join(a[one], b[one])
     return out
 
 
-def _blocks(radius: int) -> list[np.uint64]:
-    """The masks of ``radius + 2`` blocks of near-equal width."""
-    k = radius + 2
-    edges = [round(64 * i / k) for i in range(k + 1)]
-    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def _blocks(bits: list[int], k: int) -> list[int]:
+    """``k`` masks of near-equal width that share out the given bits."""
+    edges = [round(len(bits) * i / k) for i in range(k + 1)]
+    return [sum(1 << bit for bit in bits[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _masks(radius: int) -> list[int]:
+    """A mask for each pair of the 64 bits' ``radius + 2`` blocks."""
+    return [a | b for a, b in combinations(_blocks(list(range(64)), radius + 2), 2)]
+
+
+def _refined(mask: int, radius: int) -> list[int]:
+    """As :func:`_masks`, among the bits that a bucket's mask leaves open, and with the mask."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    return [mask | a | b for a, b in combinations(_blocks(left, radius + 2), 2)]
+
+
+def _rows(pair: int, mask: int, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(fp), pair, np.int32)), pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(node)],
+        names=["pair", "bucket", "fp", "node"],
+    )
 
 
 def _deal(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """A row for each pair of blocks of each fingerprint."""
-    masks = [a | b for a, b in combinations(_blocks(radius), 2)]
     for rb in batches:
-        fp = rb["fp"].to_numpy().view(np.uint64)
-        node = rb["node"].to_numpy()
-        for t, mask in enumerate(masks):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(fp), t, np.int32)),
-                    pa.array((fp & mask).view(np.int64)),
-                    pa.array(fp.view(np.int64)),
-                    pa.array(node),
-                ],
-                names=["pair", "bucket", "fp", "node"],
-            )
+        fp, node = rb["fp"].to_numpy().view(np.uint64), rb["node"].to_numpy()
+        for t, mask in enumerate(_masks(radius)):
+            yield _rows(t, mask, fp, node)
+
+
+def _deal_again(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of hot buckets go to buckets that agree on two blocks of the open bits as well."""
+    masks = _masks(radius)
+    for rb in batches:
+        pair, hot = rb["pair"].to_numpy(), rb["hot"].to_numpy(zero_copy_only=False)
+        yield rb.filter(pa.array(~hot)).drop_columns(["hot"])
+        fp, node = rb["fp"].to_numpy().view(np.uint64), rb["node"].to_numpy()
+        for t in np.unique(pair[hot]).tolist():
+            at = hot & (pair == t)
+            for k, mask in enumerate(_refined(masks[t], radius)):
+                yield _rows((t + 1) * 100 + k, mask, fp[at], node[at])
 
 
 def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -237,7 +266,14 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("the counters hold a radius of 0 to 3")
     parts = shuffle_partitions(nodes.sparkSession)
-    dealt = nodes.select("fp", "node").mapInArrow(partial(_deal, radius=radius), "pair int, bucket long, fp long, node long")
+    kind = "pair int, bucket long, fp long, node long"
+    dealt = nodes.select("fp", "node").mapInArrow(partial(_deal, radius=radius), kind)
+    # At most a thousand buckets can hold a thousandth of all rows, so those are broadcast.
+    least = max(HOT_BUCKET, nodes.count() * len(_masks(radius)) // 1000)
+    hot = dealt.groupBy("pair", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    hot = F.broadcast(materialize(hot.select("pair", "bucket", F.lit(True).alias("hot")), "hot-buckets"))
+    dealt = dealt.join(hot, ["pair", "bucket"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.mapInArrow(partial(_deal_again, radius=radius), kind)
     dealt = dealt.repartition(parts, "pair", "bucket").sortWithinPartitions("pair", "bucket", "fp")
     return dealt.mapInArrow(partial(_compare, radius=radius), "u long, v long").distinct()
 

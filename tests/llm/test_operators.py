@@ -127,8 +127,10 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_and_components(spark):
-    """Dense clusters through the bit-sliced path, chains through the star rounds."""
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_simhash_links_and_components(spark, monkeypatch, hot):
+    """Dense clusters through the bit-sliced path, chains through the star rounds, hot buckets split."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(60)]
     center = r.getrandbits(64)
