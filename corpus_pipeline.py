@@ -39,9 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold windows of two benchmark items or more."""
+    """Drop the documents that hold a window of any benchmark item."""
     found = decontaminate.add_hits(docs, table(spark, sf_dir, "benchmark"), size=8, hits="__hits")
-    return found.where(~decontaminate.contaminated("__hits", 2)).select(*docs.columns)
+    return found.where(~decontaminate.contaminated("__hits", 1)).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_empty_and_awkward_rows(spark):
     kept = corpus_pipeline.near_duplicates(spark, odd.withColumn("fp", F.lit(1)).withColumn("n", F.lit(2)), SF)
     assert kept.where("doc_id is not null").count() == kept.select("doc_id").where("doc_id is not null").distinct().count()
     assert kept.where("doc_id is null").count() == 1
+
+
+def test_one_planted_item_is_enough(spark):
+    items = [r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").orderBy("item_id").collect()]
+    clean = "nothing in this text was ever part of a test set"
+    texts = [clean, f"{clean} {items[0]} {clean}", clean, items[1], f"{items[0]} {clean} {items[1]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, SF)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == [0, 2]
