@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, packing, pii, quality, simhash
+from millrace.llm import decontaminate, nearcopies, packing, pii, quality
 from millrace.llm.common import materialize, table
 
 
@@ -25,16 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component, the one with the smallest id.
 
-    A row without an id links nothing and stays; of rows that repeat the
-    smallest id one stays.
+    Documents link at a Jaccard similarity of 0.8 or more over runs of five
+    words. A row without an id links nothing and stays; of rows that repeat
+    the smallest id one stays.
     """
-    found = simhash.near_duplicates(docs, radius=3, shingle=3)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    keep = materialize(keep, "keep")
+    keep = materialize(nearcopies.representatives(docs, shingle=5, least=0.8), "keep")
     # Shuffled at every size: what is kept grows with the input.
-    kept = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
-    if keep.where("__n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__id"])
+    kept = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

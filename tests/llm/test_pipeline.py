@@ -1,10 +1,13 @@
 """The pipeline, stage by stage, against plain versions of its decisions."""
 
+import random
+
 import brute
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import pii
+from millrace.llm import nearcopies, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +58,70 @@ def test_one_planted_item_is_enough(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.decontamination(spark, docs, SF)
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == [0, 2]
+
+
+def exact_components(texts, least=0.8):
+    """doc_id -> smallest reachable by 5-word Jaccard similarity, over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
+def test_near_copies_at_four_fifths(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(40):  # an original and copies with more and more words replaced, apart
+        w = [word() for _ in range(200)]
+        texts.append(w)
+        for n in (1, 2, 3, 4, 5, 8):
+            copy = list(w)
+            for k in range(n):
+                copy[10 + 20 * k] = word()
+            texts.append(copy)
+    family = [word() for _ in range(120)]  # more copies of one text than a bucket compares at once
+    for n in range(60):
+        copy = list(family)
+        for at in rng.sample(range(120), n % 4):
+            copy[at] = word()
+        texts.append(copy)
+    texts = {i: " ".join(t) for i, t in enumerate([*texts, texts[3], [], [], ["one"], ["one"], ["two"]])}
+    rows = [(i, t) for i, t in texts.items()]
+    rng.shuffle(rows)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = exact_components(texts)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
+
+
+def test_every_pair_that_is_open_is_proposed():
+    rng = np.random.default_rng(3)
+    node, size = rng.integers(1, 1 << 60, 50), rng.integers(50, 90, 50).astype(np.int32)
+    comp = rng.integers(0, 5, 50)
+    got = {frozenset(p) for a, b in nearcopies._proposed(node, size, comp, None, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {frozenset((i, j)) for i in range(50) for j in range(i) if comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert got == want
+
+
+def test_the_bound_keeps_every_near_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate((base[: 300 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)))) for k in range(0, 200, 4)]
+    node, size = np.arange(len(sets)), np.array([len(h) for h in sets], np.int32)
+    prof = np.stack([nearcopies.profile(h) for h in sets])
+    got = {frozenset(p) for a, b in nearcopies._proposed(node, size, node, None, 0.8, prof) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    near = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if nearcopies.similarity(sets[i], sets[j]) >= 0.8}
+    assert near and near <= got and len(got) < len(sets) * (len(sets) - 1) // 2
