@@ -2,10 +2,12 @@
 
 Found in whole texts: e-mail addresses, payment card numbers (Luhn), IBANs
 (modulo 97), US social security numbers (valid areas), IPv4 addresses,
-telephone numbers and dates. A candidate that fails its validation is left
-alone. A valid one is mapped by a keyed permutation of all values of its
+telephone numbers and dates. A candidate that fails its validation may have
+taken in neighbours: its prefixes are tried, then the search goes on after its
+first group. A valid one is mapped by a keyed permutation of all values of its
 format, so it stays valid where it has check digits, keeps its punctuation,
-and equal values, in whatever document, get equal pseudonyms; the key undoes it.
+and equal values, in whatever document, get equal pseudonyms; the key undoes it (beside other digits, by the finds'
+places: a pseudonym and its neighbour may happen to validate as one).
 
 The permutation is a Feistel network over [0, n) with n = a * b split in two
 near-equal halves; values beyond n walk the cycle until they fall inside.
@@ -41,11 +43,20 @@ _FIND = re.compile(
     r"(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
     r"|(?P<date>\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w]|[./-]\d)"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w]|-\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[-]\d)"
+    r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
     r"|(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)"
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
     r")"
 )
+#: The kinds whose candidates may take in neighbours, each alone, in the order of the search.
+_GREEDY = {
+    "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
+    "iban": re.compile(r"(?<![\w.])[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?!\w)"),
+    "phone": re.compile(
+        r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
+    ),
+}
+_GROUP = re.compile(r"[^\W_]+")
 #: A text without one of these holds nothing that is looked for.
 _ANY = re.compile(r"@|\d[\d ().-]*\d")
 
@@ -215,16 +226,42 @@ def replace(text: str, keys: Pseudonyms) -> tuple[str, list[tuple[str, int, int]
     """The text with pseudonyms, and (kind, start, end) of what was replaced, in the old text."""
     if not _ANY.search(text):
         return text, []
-    out, finds, last = [], [], 0
-    for m in _FIND.finditer(text):
-        new = getattr(keys, m.lastgroup)(m[0])
-        if new is not None:
-            out += [text[last : m.start()], new]
-            last = m.end()
-            finds.append((m.lastgroup, m.start(), m.end()))
+    out, finds, last, at = [], [], 0, 0
+    while m := _FIND.search(text, at):
+        kind, end, new = m.lastgroup, m.end(), getattr(keys, m.lastgroup)(m[0])
+        if new is None:
+            kind, end, new = _shorter(text, m, keys)
+        if new is None:
+            at = _GROUP.search(text, m.start()).end()
+            continue
+        out += [text[last : m.start()], new]
+        last = at = end
+        finds.append((kind, m.start(), end))
     return "".join([*out, text[last:]]), finds
 
 
+def _shorter(text: str, m: re.Match, keys: Pseudonyms) -> tuple[str, int, str | None]:
+    """Kind, end and pseudonym of the longest valid candidate at the start of one that failed.
+
+    A candidate may have taken in what stands after it, so its prefixes that
+    end at a separator are tried, as that kind and as the kinds after it.
+    """
+    kinds = list(_GREEDY)
+    for kind in kinds[kinds.index(m.lastgroup) if m.lastgroup in kinds else 0 :]:
+        whole = _GREEDY[kind].match(text, m.start())
+        if not whole:
+            continue
+        s = whole[0]
+        for n in range(len(s), 0, -1):
+            if n < len(s) and (s[n].isalnum() or not s[n - 1].isalnum()):
+                continue
+            if _GREEDY[kind].fullmatch(text, m.start(), m.start() + n):
+                new = getattr(keys, kind)(s[:n])
+                if new is not None:
+                    return kind, m.start() + n, new
+    return "", 0, None
+
+
 _RESULT = pa.struct(
     [
         ("text", pa.string()),

@@ -200,6 +200,23 @@ def test_pii_formats():
     assert sorted(there.permute("t", 1000, x) for x in range(1000)) == list(range(1000))
 
 
+def test_pii_beside_neighbours():
+    keys = pii.Pseudonyms(b"k")
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    for kind, values, around in (
+        ("card", cards, ["{} 123", "{} 12/25", "{} 2 items", "5 {}", "12 {}", "7 {} 12", "{}-123", "{}-12345", "{} 5 6 7 8 9 10", "no. 77 {}, 3 of 4"]),
+        ("iban", ibans, ["{} BIC COBADEFFXXX", "{} EUR", "{} A payment", "AB12 {}", "X {} 100 EUR", "{} Bank", "AB12 CD34 {} BIC COBADEFFXXX"]),
+    ):
+        for value in values:
+            alone = pii.replace(value, keys)[0]
+            for text in around:
+                new, finds = pii.replace(text.format(value), keys)
+                start = text.index("{}")
+                assert (new, finds) == (text.format(alone), [(kind, start, start + len(value))])
+    assert pii.replace("555-123-4567 12 30 1", keys)[1] == [("phone", 0, 12)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder(name):
     enc = tokens.Encoder(public_tokenizers.path(name), most=500)
