@@ -53,11 +53,18 @@ def keys_of(url: Column) -> Column:
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
+def rule_of(rule: Column) -> Column:
+    """A rule as the keys are written: the host in lower case, the path as it is without empty steps."""
+    host = F.substring_index(rule, "/", 1)
+    steps = F.array_remove(F.split(F.substr(rule, F.length(host) + 1), "/"), "")
+    return F.array_join(F.concat(F.array(F.lower(host)), steps), "/")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """rule, action, since, until (null: still valid) of the dated ``entries``."""
     rank = F.array_position(F.array(*map(F.lit, _ACTIONS)), F.col("action"))
     rows = entries.where("rule is not null and effective is not null").where(F.col("action").isin(*_ACTIONS))
-    rows = rows.select(F.lower("rule").alias("rule"), F.col("effective").alias("since"), rank.alias("rank"))
+    rows = rows.select(rule_of(F.col("rule")).alias("rule"), F.col("effective").alias("since"), rank.alias("rank"))
     rows = rows.groupBy("rule", "since").agg(F.min("rank").alias("rank"))
     until = F.lead("since").over(Window.partitionBy("rule").orderBy("since"))
     rows = rows.withColumn("until", until).where(F.col("rank") < len(_ACTIONS))

@@ -175,6 +175,15 @@ def test_url_list(spark):
     assert urls.judge(caps, entries.limit(0)).where("not kept").count() == 0
 
 
+def test_url_rules_with_capitals_and_end_slashes(spark):
+    day = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("Example.com/FR", "block", day), ("slash.org/a/", "block", day), ("HOST.net/", "block", day)], "rule string, action string, effective date")
+    urls_ = ["https://example.COM/FR/x", "https://example.com/fr/x", "http://slash.org/a/b", "http://slash.org/ab", "http://host.net"]
+    caps = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls_)], "capture_id long, url string, fetched date")
+    got = [(r.rule, r.kept) for r in urls.judge(caps, entries).orderBy("capture_id").collect()]
+    assert got == [("example.com/FR", False), (None, True), ("slash.org/a", False), (None, True), ("host.net", False)]
+
+
 def test_pii(docs, empty):
     got = docs.withColumn("__new", pii.pseudonymise(F.col("text"))).select("doc_id", "text", "__new.text", "__new.finds").collect()
     for i, old, new, finds in got:
