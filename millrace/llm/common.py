@@ -24,8 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder every executor can reach, as the session names it.
+
+    Only a local session may leave it unnamed: on a cluster a folder of this
+    machine would be out of the executors' reach.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,7 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            remove_path(df.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -10,21 +10,26 @@ documents reachable from each other form a component, named by its smallest
 * The 64 bits fall into ``radius + 2`` blocks. Fingerprints within the radius
   agree on two whole blocks at least, so each goes to one bucket for every
   pair of blocks, keyed by those 25 or 26 bits.
-* A bucket with a thousandth of all rows is hot: what its fingerprints leave
-  open is cut into blocks once more, and its rows are dealt by two of those too.
-* A bucket is compared in blocks of lanes: bit planes are stored vertically,
-  one machine word holding one bit of 64 fingerprints; distances are counted
-  by carry-save adders for all lanes at once; a block is abandoned as soon as
-  every lane has passed the radius.
+* Buckets, small and large, are compared in one way: a stretch of them is
+  stored as vertical bit planes, one machine word holding one bit of 64
+  fingerprints; the planes are laid over themselves at every distance that
+  some bucket reaches; carry-save counters count the differing bits of 64
+  pairs at once; a block of 64 pairs is abandoned as soon as all of them have
+  passed the radius or stand in different buckets.
+* No task compares a bucket of over ``HOT_BUCKET`` fingerprints: its rows are
+  dealt again by two blocks of the bits it leaves open, as often as needed, so
+  that the limit holds at every size of the corpus. Buckets with a thousandth
+  of all rows are dealt again before they meet.
 * A bucket yields links that span it (a forest, not all pairs), and components
   come from alternating large-star and small-star rounds over tables in the
   shared folder. Nothing that follows the corpus reaches the driver.
 
 Cases: a null text, or one without words, has fingerprint zero and links like
-any other; fewer words than a shingle make one shingle of all; a null
+any other; fewer words than a shingle make one shingle of all; a text of any
+length is read whole, in one pass, with memory in proportion to it; a null
 ``doc_id`` gets a fingerprint, a null component, and links nothing; repeated
-rows stay repeated; an empty table gives no rows. Other columns are not looked
-at.
+rows stay repeated; an empty table gives no rows. Other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -39,12 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, shuffle_partitions
+from .common import discard, lookup, materialize, run_starts, shuffle_partitions
 
-_LANES = 2048
-#: Buckets of fewer fingerprints are compared as they are.
+#: No bucket of more fingerprints is compared: it is dealt again.
 HOT_BUCKET = 4096
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A bucket that agrees on this many bits has 4096 fingerprints at most, and is compared.
+_FIXED = 52
+#: Rows laid into planes at once, and blocks of 64 pairs counted at once.
+_STRETCH, _BLOCKS = 1 << 15, 1 << 14
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -101,49 +108,85 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
 
-def close_lanes(planes: np.ndarray, lanes: int, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, lane) within ``radius`` bits; ``radius`` is at most 3."""
-    width = planes.shape[1]
-    live = np.full(width, _ALL)
-    if lanes % 64:
-        live[-1] = np.uint64((1 << lanes % 64) - 1)
-    shape = (len(queries), width)
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
-    alive = np.arange(len(queries))
-    q = queries.copy()
-    for i in range(64):
-        bit = (q[:, None] >> np.uint64(i)) & np.uint64(1)
-        x = planes[i][None, :] ^ (np.uint64(0) - bit)  # a set bit where the two differ
-        carry = ones & x
-        ones ^= x
-        carry2 = twos & carry
-        twos ^= carry
-        over |= carry2  # four or more
-        if i % 8 == 7 and i < 63:
-            keep = ((~over & live) != 0).any(axis=1)  # abandon rows whose lanes are all too far
-            if not keep.any():
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            if not keep.all():
-                ones, twos, over, q, alive = ones[keep], twos[keep], over[keep], q[keep], alive[keep]
-    value = over
-    if radius == 2:
-        value = over | (ones & twos)
-    elif radius == 1:
-        value = over | twos
-    elif radius == 0:
-        value = over | twos | ones
-    near = ~value & live
-    hit = np.unpackbits(near.view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little")
-    a, b = np.nonzero(hit)
-    return alive[a], b
-
-
-def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions of pairs within the radius that connect all that any pairs connect."""
+class Counters:
+    """Distances of many blocks of 64 pairs at once, counted by carry-save adders.
+
+    They begin where the radius, and one more, make the last carry: a pair
+    whose carry has come out is beyond the radius.
+    """
+
+    def __init__(self, blocks: int, radius: int) -> None:
+        width = radius.bit_length()
+        begin = (1 << width) - 1 - radius
+        self.sums = [np.full(blocks, np.uint64(((1 << 64) - 1) * (begin >> k & 1))) for k in range(width)]
+        self.over = np.zeros(blocks, np.uint64)
+
+    def add(self, differ: np.ndarray) -> None:
+        """One more bit position: a set bit where the two of a pair differ."""
+        for k, s in enumerate(self.sums):
+            self.sums[k], differ = s ^ differ, s & differ
+        self.over |= differ
+
+    def keep(self, at: np.ndarray) -> None:
+        """Go on with the blocks at these places alone."""
+        self.sums, self.over = [s[at] for s in self.sums], self.over[at]
+
+
+def close_pairs(fps: np.ndarray, room: np.ndarray, radius: int, last: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All positions (i, j), i < j <= i + room[i], that differ in ``radius`` bits or fewer.
+
+    ``room`` says how far each row's partners reach. The bits of the mask
+    ``last`` are counted last, as the rows of a bucket agree on them.
+    """
     n = len(fps)
-    if n == 2:
-        return [(0, 1)] if (int(fps[0]) ^ int(fps[1])).bit_count() <= radius else []
-    root = list(range(n))
+    if not n or not room.any():
+        return
+    planes = bit_planes(fps)
+    words = planes.shape[1]
+    order = sorted(range(64), key=lambda i: last >> i & 1)
+    reach = np.zeros(words * 64, np.int64)
+    reach[:n] = room
+    reach = reach.reshape(words, 64)
+    deepest = reach.max(axis=1)
+    for q in range(int(deepest.max()) // 64 + 1):
+        # The planes moved by 64 q + s lanes; words beyond the end hold no lanes.
+        shift = np.arange(64, dtype=np.uint64)
+        far = 64 * q + np.arange(64)
+        far[far == 0] = 1 << 40
+        moved = np.zeros((64, words + 1), np.uint64)
+        moved[:, : words - q] = planes[:, q:]
+        active = np.flatnonzero(deepest >= max(1, 64 * q))
+        for at in range(0, len(active), _BLOCKS // 64):
+            some = active[at : at + _BLOCKS // 64]
+            live = np.packbits(reach[some][None] >= far[:, None, None], axis=2, bitorder="little").view("<u8")[:, :, 0]
+            s, w = np.nonzero(live)
+            if not len(s):
+                continue
+            live, word, s = live[s, w], some[w], shift[s]
+            counters = Counters(len(s), radius)
+            for k, i in enumerate(order):
+                plane, other = planes[i], moved[i]
+                there = (other[word] >> s) | (other[word + 1] << (np.uint64(63) - s) << np.uint64(1))
+                counters.add(plane[word] ^ there)
+                if k % 6 == 5 or k == 63:  # abandon the blocks whose pairs are all too far
+                    on = np.flatnonzero(live & ~counters.over)
+                    if len(on) < len(s):
+                        live, word, s = live[on], word[on], s[on]
+                        counters.keep(on)
+                    if not len(s):
+                        break
+            if len(s):
+                near = (live & ~counters.over).view(np.uint8).reshape(-1, 8)
+                block, lane = np.nonzero(np.unpackbits(near, axis=1, bitorder="little"))
+                i = word[block] * 64 + lane
+                yield i, i + 64 * q + s[block].astype(np.int64)
+
+
+def spanning_links(fps: np.ndarray, room: np.ndarray, radius: int, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs within the radius that connect all that any pairs connect."""
+    root = np.arange(len(fps))
+    out_a: list[int] = []
+    out_b: list[int] = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -151,33 +194,20 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for a, b in close_pairs(fps, room, radius, last):
+        while not np.array_equal(flat := root[root], root):
+            root[:] = flat
+        # Of the pairs that would join the same two trees, one is enough.
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        new = np.flatnonzero(low != high)
+        new = new[np.unique(low[new] * len(fps) + high[new], return_index=True)[1]]
+        for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
             rx, ry = find(x), find(y)
             if rx != ry:
                 root[max(rx, ry)] = min(rx, ry)
-                out.append((x, y))
-
-    if n < 48:
-        join(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1)))
-        return out
-    for i in range(0, n, _LANES):
-        planes, lanes = bit_planes(fps[i : i + _LANES]), min(_LANES, n - i)
-        for j in range(i, n, 256):
-            a, b = close_lanes(planes, lanes, fps[j : j + 256], radius)
-            a, b = a + j, b + i
-            if not len(a):
-                continue
-            # Of the pairs that would join the same two trees, one is enough.
-            seen = np.array([find(x) for x in [*range(j, min(j + 256, n)), *range(i, i + lanes)]])
-            ra, rb = seen[a - j], seen[b - i + min(256, n - j)]
-            low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-            new = np.flatnonzero(low != high)
-            one = new[np.unique(low[new] * n + high[new], return_index=True)[1]]
-            join(a[one], b[one])
-    return out
+                out_a.append(x)
+                out_b.append(y)
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def _blocks(bits: list[int], k: int) -> list[int]:
@@ -186,96 +216,137 @@ def _blocks(bits: list[int], k: int) -> list[int]:
     return [sum(1 << bit for bit in bits[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _masks(radius: int) -> list[int]:
-    """A mask for each pair of the 64 bits' ``radius + 2`` blocks."""
-    return [a | b for a, b in combinations(_blocks(list(range(64)), radius + 2), 2)]
-
-
 def _refined(mask: int, radius: int) -> list[int]:
-    """As :func:`_masks`, among the bits that a bucket's mask leaves open, and with the mask."""
+    """The mask with each pair of the ``radius + 2`` blocks of the bits it leaves open."""
     left = [i for i in range(64) if not mask >> i & 1]
     return [mask | a | b for a, b in combinations(_blocks(left, radius + 2), 2)]
 
 
-def _rows(pair: int, mask: int, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+_DEALT = "mask long, bucket long, fp long, node long"
+#: A link (kind 0: u and v) or a row to be dealt once more (kind 1).
+_FOUND = "kind int, u long, v long, " + _DEALT
+
+
+def _signed(mask: int) -> np.int64:
+    return np.uint64(mask).view(np.int64)
+
+
+def _rows(mask: int, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(fp), pair, np.int32)), pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(node)],
-        names=["pair", "bucket", "fp", "node"],
+        [pa.array(np.full(len(fp), _signed(mask))), pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(node)],
+        names=["mask", "bucket", "fp", "node"],
     )
 
 
 def _deal(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """A row for each pair of blocks of each fingerprint."""
+    masks = _refined(0, radius)
     for rb in batches:
         fp, node = rb["fp"].to_numpy().view(np.uint64), rb["node"].to_numpy()
-        for t, mask in enumerate(_masks(radius)):
-            yield _rows(t, mask, fp, node)
+        for mask in masks:
+            yield _rows(mask, fp, node)
+
+
+def _again(mask: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets that are too large, dealt by two blocks of their open bits as well."""
+    for m in np.unique(mask).tolist():
+        at = mask == m
+        for finer in _refined(m & ((1 << 64) - 1), radius):
+            yield _rows(finer, fp[at], node[at])
 
 
 def _deal_again(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows of hot buckets go to buckets that agree on two blocks of the open bits as well."""
-    masks = _masks(radius)
     for rb in batches:
-        pair, hot = rb["pair"].to_numpy(), rb["hot"].to_numpy(zero_copy_only=False)
+        hot = rb["hot"].to_numpy(zero_copy_only=False)
         yield rb.filter(pa.array(~hot)).drop_columns(["hot"])
-        fp, node = rb["fp"].to_numpy().view(np.uint64), rb["node"].to_numpy()
-        for t in np.unique(pair[hot]).tolist():
-            at = hot & (pair == t)
-            for k, mask in enumerate(_refined(masks[t], radius)):
-                yield _rows((t + 1) * 100 + k, mask, fp[at], node[at])
+        if hot.any():
+            part = rb.filter(pa.array(hot))
+            yield from _again(part["mask"].to_numpy(), part["fp"].to_numpy().view(np.uint64), part["node"].to_numpy(), radius)
 
 
-def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each bucket; rows come sorted by bucket, which may cross batches."""
-    rest: list[np.ndarray] | None = None
-    out_a: list[int] = []
-    out_b: list[int] = []
+def _linked(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v), none, none, none, none], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _redealt(rb: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(rb.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(rb.num_rows, np.int32)), none, none, *rb.columns], names=[x.split()[0] for x in _FOUND.split(", ")])
+
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
-            out_a.clear()
-            out_b.clear()
+def _compare(batches: Iterable[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Links inside the buckets; rows come sorted by mask and bucket, and a bucket may cross batches.
 
-    def bucket(fp: np.ndarray, node: np.ndarray) -> None:
-        for x, y in spanning_links(fp, radius):
-            out_a.append(int(node[x]))
-            out_b.append(int(node[y]))
+    Holds a stretch of whole buckets, each of at most ``most`` rows; rows of
+    larger ones are sent on as they come, to be dealt again.
+    """
+    rest = [np.empty(0, np.int64)] * 4
+    hot: tuple[int, int] | None = None
+
+    def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        mask, bucket, fp, node = cols
+        new = np.ones(len(mask), bool)
+        new[1:] = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(mask)))
+        n, end = np.repeat(size, size), np.repeat(at + size, size)
+        large = (n > most) & (np.bitwise_count(mask.view(np.uint64)) < _FIXED)
+        if large.any():
+            for rb in _again(mask[large], fp[large].view(np.uint64), node[large], radius):
+                yield _redealt(rb)
+        pick = np.flatnonzero((n > 1) & ~large)
+        room = (end - 1 - np.arange(len(mask)))[pick]  # buckets are whole, so picked rows stay neighbours
+        mask, fp, node = mask[pick], fp[pick].view(np.uint64), node[pick]
+        ends = np.append(run_starts(mask), len(mask))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            x, y = spanning_links(fp[a:b], room[a:b], radius, int(mask[a]) & ((1 << 64) - 1))
+            if len(x):
+                yield _linked(node[a:b][x], node[a:b][y])
 
     for rb in batches:
-        cols = [rb["pair"].to_numpy(), rb["bucket"].to_numpy(), rb["fp"].to_numpy().view(np.uint64), rb["node"].to_numpy()]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
+        cols = [rb[c].to_numpy() for c in ("mask", "bucket", "fp", "node")]
+        if hot is not None:  # what still belongs to a bucket known to be too large
+            same = (cols[0] == hot[0]) & (cols[1] == hot[1])
+            for part in _again(cols[0][same], cols[2][same].view(np.uint64), cols[3][same], radius):
+                yield _redealt(part)
+            cols = [c[~same] for c in cols]
+        rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if len(rest[0]) < _STRETCH:
             continue
-        new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        at = np.flatnonzero(new)
-        ends = np.append(at, len(new))
-        for a, b in ((a, b) for a, b in zip(ends[:-2].tolist(), ends[1:-1].tolist(), strict=True) if b - a > 1):
-            bucket(cols[2][a:b], cols[3][a:b])
-        rest = [c[at[-1] :] for c in cols]
-        yield from flush()
-    if rest is not None and len(rest[0]) > 1:
-        bucket(rest[2], rest[3])
-    yield from flush()
+        open_ = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
+        start = len(open_) - int(open_.sum())
+        hot = None
+        if len(open_) - start > most and (int(rest[0][-1]) & ((1 << 64) - 1)).bit_count() < _FIXED:
+            hot, start = (rest[0][-1], rest[1][-1]), len(open_)
+        yield from settle([c[:start] for c in rest])
+        rest = [c[start:] for c in rest]
+    yield from settle(rest)
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, *, most: int | None = None) -> DataFrame:
     """Links (u, v) among distinct fingerprints ``nodes`` (fp, node) that span their components."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the counters hold a radius of 0 to 3")
+    if not 0 <= radius <= 8:
+        raise ValueError("the fingerprints are cut for a radius of 0 to 8")
+    most = most or HOT_BUCKET
     parts = shuffle_partitions(nodes.sparkSession)
-    kind = "pair int, bucket long, fp long, node long"
-    dealt = nodes.select("fp", "node").mapInArrow(partial(_deal, radius=radius), kind)
-    # At most a thousand buckets can hold a thousandth of all rows, so those are broadcast.
-    least = max(HOT_BUCKET, nodes.count() * len(_masks(radius)) // 1000)
-    hot = dealt.groupBy("pair", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    hot = F.broadcast(materialize(hot.select("pair", "bucket", F.lit(True).alias("hot")), "hot-buckets"))
-    dealt = dealt.join(hot, ["pair", "bucket"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    dealt = dealt.mapInArrow(partial(_deal_again, radius=radius), kind)
-    dealt = dealt.repartition(parts, "pair", "bucket").sortWithinPartitions("pair", "bucket", "fp")
-    return dealt.mapInArrow(partial(_compare, radius=radius), "u long, v long").distinct()
+    dealt = nodes.select("fp", "node").mapInArrow(partial(_deal, radius=radius), _DEALT)
+    rows = nodes.count() * (radius + 2) * (radius + 1) // 2
+    found = None
+    while True:
+        # At most a thousand buckets can hold a thousandth of the rows, so those are broadcast.
+        hot = dealt.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= max(most + 1, rows // 1000)) & (F.bit_count("mask") < _FIXED))
+        hot = materialize(hot.select("mask", "bucket", F.lit(True).alias("hot")), "hot-buckets")
+        dealt = dealt.join(F.broadcast(hot), ["mask", "bucket"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        dealt = dealt.mapInArrow(partial(_deal_again, radius=radius), _DEALT)
+        dealt = dealt.repartition(parts, "mask", "bucket").sortWithinPartitions("mask", "bucket")
+        step = materialize(dealt.mapInArrow(partial(_compare, radius=radius, most=most), _FOUND), "links")
+        pairs = step.where("kind = 0").select("u", "v")
+        found = pairs if found is None else found.unionByName(pairs)
+        # Each time, two fifths of a bucket's open bits are fixed: a few rounds leave none too large.
+        dealt = step.where("kind = 1").select("mask", "bucket", "fp", "node")
+        rows = dealt.count()
+        if not rows:
+            return found.distinct()
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
@@ -294,7 +365,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = lookup(both, least, "u", "n", spread, total=2 * n)
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "edges")
+        large, before = materialize(large, "edges"), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = lookup(large, least, "u", "n", spread, total=max(1, n))
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -305,6 +376,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         busy = after.join(heads.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         forked = heads.where("n > 1").limit(1).count()
         edges = after
+        discard(before, large)
         if not busy and not forked:
             roots = edges.select("v").distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

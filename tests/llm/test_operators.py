@@ -127,10 +127,9 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 20])
-def test_simhash_links_and_components(spark, monkeypatch, hot):
-    """Dense clusters through the bit-sliced path, chains through the star rounds, hot buckets split."""
-    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+@pytest.mark.parametrize("most", [4096, 20])
+def test_simhash_links_and_components(spark, most):
+    """Dense clusters, chains through the star rounds, buckets dealt again until none is too large."""
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(60)]
     center = r.getrandbits(64)
@@ -144,18 +143,29 @@ def test_simhash_links_and_components(spark, monkeypatch, hot):
         chain.append(chain[-1] ^ (7 << (k % 20) * 3))
     fps = dict(enumerate(dict.fromkeys(fps + chain)))
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in fps.items()], "fp long, node long")
-    known = dict(simhash.components(simhash.links(nodes)).collect())
+    known = dict(simhash.components(simhash.links(nodes, most=most)).collect())
     assert {i: known.get(i, i) for i in fps} == brute.components(fps)
 
 
 def test_bit_slices():
     r = np.random.default_rng(1)
-    base = r.integers(0, 1 << 63, 200, dtype=np.uint64)
-    near = base ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))
-    for radius in range(4):
-        a, b = simhash.close_lanes(simhash.bit_planes(near), 200, base, radius)
-        want = np.argwhere(np.bitwise_count(base[:, None] ^ near[None, :]) <= radius)
-        assert sorted(zip(a.tolist(), b.tolist())) == sorted(map(tuple, want.tolist()))
+    f = r.integers(0, 1 << 63, 40, dtype=np.uint64)[r.integers(0, 40, 300)]
+    for _ in range(5):
+        f = f ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))
+    room = np.minimum(r.integers(0, 200, 300), 299 - np.arange(300))
+    for radius in (0, 1, 2, 3, 8, 28):
+        got = sorted(p for a, b in simhash.close_pairs(f, room, radius, last=255) for p in zip(a.tolist(), b.tolist()))
+        far = np.bitwise_count(f[:, None] ^ f[None, :])
+        assert got == [(i, j) for i, j in np.argwhere(far <= radius).tolist() if i < j <= i + room[i]]
+
+
+def test_every_link_comes_from_the_counters(monkeypatch):
+    """With counters that call every pair too far nothing links, in small buckets as in large ones."""
+    f = np.zeros(90, np.uint64)
+    room = np.array([1, 0] * 10 + list(range(69, -1, -1)))
+    assert len(simhash.spanning_links(f, room, 3)[0]) == 10 + 69
+    monkeypatch.setattr(simhash.Counters, "add", lambda self, differ: self.over.fill(np.uint64((1 << 64) - 1)))
+    assert len(simhash.spanning_links(f, room, 3)[0]) == 0
 
 
 def test_url_list(spark):
