@@ -5,23 +5,31 @@ edge walked twice or more is repeated; every walk but the earliest (smaller
 ``doc_id``, then earlier start) is to go.
 
 * Edges are dealt out by minimizer, the least hash among a window's runs of
-  ``seed`` words. Consecutive windows with one minimizer travel as one row, a
-  first compaction; equal windows always meet, as they have equal minimizers.
-* Before that, each batch of documents settles its own repeats, so a passage
-  that a third of all documents hold sends one row a batch, not one a copy.
-* Where rows meet, the edges of a group are ordered by source coordinates; the
-  first walk stays, and runs of later walks leave as one path each.
-* Paths come home by document and are compacted again where they touch or
-  overlap, in a join on the document with its words; what they cover is cut.
-
-Windows are told apart by minimizer (64 bits) and window hash (48 bits) from
-independent mixes, so no text has to move to compare two of them.
+  ``seed`` words. Consecutive windows with one minimizer travel as one row;
+  equal windows always meet, as they have equal minimizers. Before that, each
+  batch of documents settles its own repeats, so a passage that a third of all
+  documents hold sends one row a batch, not one a copy; the row says so.
+* Where rows meet, the edges of a group are ordered by source coordinates. Runs
+  of repeated edges leave as pieces: a walk (document, first and last start),
+  the source it repeats (document, first start), and its first and last edge.
+  A piece ends where its source does not go on with it, and where walks that
+  share an edge go on to, or came from, different ones.
+* A join of pieces that end where another begins gives the passages through
+  nodes between them; counted, they are each node's in and out degree. Joined
+  back, nodes of in and out degree one, at which the source goes on too, are
+  compacted: their pieces become one path. A piece never hides a branch, since
+  all walks of an edge meet where it is dealt to.
+* Paths come home by document, and so do the source coordinates that they name.
+  Both sides' words are read and digested; a path whose words are not its
+  source's means that two different windows shared 120 hash bits (64 of the
+  minimizer, 56 of the window), and all is done again with other hashes.
 
 Cases: a null text has no words; documents of fewer than ``size`` words keep
-all; of rows that repeat a ``doc_id`` the one with the lesser text hash is the
+all; a text of any length is read whole, its windows being dealt out in rows;
+of rows that repeat a ``doc_id`` the one with the lesser text hash is the
 earlier, and of identical rows one keeps its words; a null ``doc_id`` comes
-before all others; an empty table gives no rows. Other columns are not looked
-at.
+before all others; an empty table gives no rows. Other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -36,28 +44,29 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import run_starts, window_hashes
+from .common import discard, lookup, materialize, pair_hash, run_starts, window_hashes
 
-#: White space that ends a word, as fixed by the contract.
-_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _ROWS = "slot int, blob binary"
-_SPANS = "doc_id long, sub long, first int, last int"
-_LOW48 = np.uint64((1 << 48) - 1)
+_PIECES = "doc long, sub long, first int, last int, s_doc long, s_sub long, s_first int, e_first long, e_last long"
+_LOW56 = np.uint64((1 << 56) - 1)
 #: Windows settled at once in a batch; bounds a task's memory.
 BATCH_WINDOWS = 1_500_000
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen of late."""
+    """64-bit hashes of words under a salt, kept for the words seen of late."""
+
+    def __init__(self, salt: int) -> None:
+        self.salt = salt
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        self[word] = h = xxhash.xxh64_intdigest(word, self.salt)
         return h
 
 
-_HASHES = _WordHashes()
+_HASHES: dict[int, _WordHashes] = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -65,12 +74,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def _sub(text: bytes) -> int:
-    """Tells rows with one ``doc_id`` apart; as Spark's xxhash64 of the text."""
-    h = xxhash.xxh64_intdigest(text, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _minimizers(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     """The least seed hash inside each window."""
     low = window_hashes(words, seed)
@@ -83,22 +86,12 @@ def _minimizers(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     return low
 
 
-def _later(key: np.ndarray, *place: np.ndarray) -> np.ndarray:
-    """Marks the entries whose equal came earlier, at another place.
-
-    Entries come in order of rank. With no place given each has its own.
-    """
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    out = np.zeros(len(key), bool)
-    if not place:
-        out[order[1:]] = k[1:] == k[:-1]
-        return out
-    at = run_starts(k)
-    first = np.repeat(order[at], np.diff(np.append(at, len(k))))
-    for p in place:
-        out[order] |= p[order] != p[first]
-    return out
+def _groups(h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows in which equal ones are neighbours, ranked, and where each group begins."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (m[order[1:]] != m[order[:-1]])
+    return order, np.flatnonzero(new)
 
 
 class _Batch:
@@ -111,48 +104,60 @@ class _Batch:
         self.size = 0
 
 
-def _spans(doc: np.ndarray, sub: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(sub, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-        names=["doc_id", "sub", "first", "last"],
-    )
+_HEAD = np.dtype([("minimizer", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_PIECE = np.dtype([(x.split()[0], "<i8" if x.split()[1] == "long" else "<i4") for x in _PIECES.split(", ")])
 
 
-_HEAD = np.dtype([("minimizer", "<u8"), ("doc_id", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("n", "<i4")])
+def _sliced(x: np.ndarray) -> bytes:
+    """A column as bytes, the lowest byte of every value first: what hardly changes stands together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def pack_rows(head: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Rows of one slot as bytes: the columns in turn, then 6 bytes a window; compressed."""
-    low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6])
-    columns = [np.ascontiguousarray(head[c]).tobytes() for c in _HEAD.names]
-    raw = pa.compress(b"".join(columns), codec="zstd", asbytes=True)
-    size = len(head) * _HEAD.itemsize
-    return len(head).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw + low.tobytes() if size else b""
+    """Rows of one slot as bytes: the columns in turn, compressed, then 7 bytes a window."""
+    low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :7])
+    columns = [np.diff(head[c], prepend=head[c].dtype.type(0)) if c == "doc" else np.ascontiguousarray(head[c]) for c in _HEAD.names]
+    raw = pa.compress(b"".join(map(_sliced, columns)), codec="zstd", asbytes=True)
+    return len(head).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw + low.tobytes() if len(head) else b""
 
 
 def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The inverse of :func:`pack_rows`."""
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    raw = pa.decompress(blob[8 : 8 + size], n * _HEAD.itemsize, codec="zstd", asbytes=True)
+    raw = np.frombuffer(pa.decompress(blob[8 : 8 + size], n * _HEAD.itemsize, codec="zstd", asbytes=True), np.uint8)
     head, at = np.empty(n, _HEAD), 0
     for c in _HEAD.names:
         kind = _HEAD[c]
-        head[c] = np.frombuffer(raw, kind, n, at)
+        head[c] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(-1, n).T).view(kind).ravel()
         at += n * kind.itemsize
-    low = np.frombuffer(blob, np.uint8, offset=8 + size).reshape(-1, 6)
+    head["doc"] = np.cumsum(head["doc"])
+    low = np.frombuffer(blob, np.uint8, offset=8 + size).reshape(-1, 7)
     hashes = np.zeros((len(low), 8), np.uint8)
-    hashes[:, :6] = low
+    hashes[:, :7] = low
     return head, hashes.view("<u8").ravel()
 
 
+def _pieces(
+    entries: np.ndarray, begins: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, src: np.ndarray, key: np.ndarray
+) -> np.ndarray:
+    """Runs of entries as pieces; ``begins`` marks the entries that open one."""
+    at = np.flatnonzero(begins[entries])
+    a, b = entries[at], entries[np.append(at[1:], len(entries)) - 1]
+    out = np.empty(len(a), _PIECE)
+    out["doc"], out["sub"], out["first"], out["last"] = doc[a], sub[a], start[a], start[b] + 1
+    out["s_doc"], out["s_sub"], out["s_first"] = doc[src[a]], sub[src[a]], start[src[a]]
+    out["e_first"], out["e_last"] = key[a].view(np.int64), key[b].view(np.int64)
+    return out
+
+
 def _settle(batch: _Batch, size: int, seed: int, slots: int) -> Iterator[tuple[int, bytes]]:
-    """Send a batch's windows: first walks as rows to be compared, later ones as found."""
-    order = sorted(range(len(batch.docs)), key=lambda i: batch.docs[i])
-    docs = np.array([batch.docs[i] for i in order], np.int64).reshape(-1, 2)
+    """Send a batch's windows: first walks as rows to be compared, later ones as pieces with their source."""
+    rank = sorted(range(len(batch.docs)), key=lambda i: batch.docs[i])
+    docs = np.array([batch.docs[i] for i in rank], np.int64).reshape(-1, 2)
     hashes, minimizers, counts = [], [], []
-    for i in order:
+    for i in rank:
         w = batch.words[i]
-        hashes.append(window_hashes(w, size) & _LOW48)
+        hashes.append(window_hashes(w, size) & _LOW56)
         minimizers.append(_minimizers(w, size, seed))
         counts.append(len(hashes[-1]))
     if not counts:
@@ -161,20 +166,30 @@ def _settle(batch: _Batch, size: int, seed: int, slots: int) -> Iterator[tuple[i
     count = np.array(counts)
     doc = np.repeat(np.arange(len(counts)), count)
     start = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-    later = _later(h ^ m)
-    # A row is a run of windows of one document with one minimizer, all first or all later here.
-    new = np.ones(len(h), bool)
-    new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | (later[1:] != later[:-1])
-    at = np.flatnonzero(new)
+    order, at = _groups(h, m)
+    many = np.diff(np.append(at, len(h)))
+    src = np.empty(len(h), np.int64)
+    src[order] = np.repeat(order[at], many)
+    later = src != np.arange(len(h))
+    twice = np.zeros(len(h), bool)
+    twice[order] = np.repeat(many > 1, many)
+    apart = np.ones(len(h), bool)
+    apart[1:] = doc[1:] != doc[:-1]
+    if later.any():
+        begins = apart.copy()
+        begins[1:] |= (later[1:] != later[:-1]) | (src[1:] != src[:-1] + 1) | (doc[src[1:]] != doc[src[:-1]])
+        known = np.flatnonzero(later)
+        yield -1, _pieces(known, begins, docs[doc, 0], docs[doc, 1], start, src, pair_hash(m, h)).tobytes()
+    # A row is a run of first walks of one document with one minimizer, all found again here (n is negative) or none.
+    begins = apart
+    begins[1:] |= (m[1:] != m[:-1]) | (later[1:] != later[:-1]) | (twice[1:] != twice[:-1])
+    at = np.flatnonzero(begins)
     n = np.diff(np.append(at, len(h)))
     head = np.empty(len(at), _HEAD)
-    head["minimizer"], head["start"], head["n"] = m[at], start[at], n
-    head["doc_id"], head["sub"] = docs[doc[at], 0], docs[doc[at], 1]
-    known = later[at]
-    if known.any():
-        yield -1, head[known].tobytes()
+    head["minimizer"], head["start"], head["n"] = m[at], start[at], np.where(twice[at], -n, n)
+    head["doc"], head["sub"] = docs[doc[at], 0], docs[doc[at], 1]
     slot = (head["minimizer"] >> np.uint64(20)) % np.uint64(slots)
-    pick = np.flatnonzero(~known)
+    pick = np.flatnonzero(~later[at])
     pick = pick[np.argsort(slot[pick], kind="stable")]
     s = slot[pick]
     ends = np.append(run_starts(s), len(s))
@@ -185,7 +200,7 @@ def _settle(batch: _Batch, size: int, seed: int, slots: int) -> Iterator[tuple[i
         yield int(s[a]), pack_rows(rows[a:b], flat[cum[a] : cum[b]])
 
 
-def _edges(batches: Iterable[pa.RecordBatch], size: int, seed: int, slots: int) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterable[pa.RecordBatch], size: int, seed: int, slots: int, salt: int) -> Iterator[pa.RecordBatch]:
     def send(batch: _Batch) -> Iterator[pa.RecordBatch]:
         got = list(_settle(batch, size, seed, slots))
         for i in range(0, len(got), 500):
@@ -196,18 +211,17 @@ def _edges(batches: Iterable[pa.RecordBatch], size: int, seed: int, slots: int)
             )
 
     batch = _Batch()
-    lookup = _HASHES.__getitem__
+    hashes = _HASHES.setdefault(salt, _WordHashes(salt)).__getitem__
     for rb in batches:
         for at in range(0, rb.num_rows, 256):
             part = rb.slice(at, 256)
-            for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+            for doc, sub, text in zip(*(part[c].to_pylist() for c in ("doc", "sub", "text")), strict=True):
                 w = words_of(text)
-                key = (doc, _sub(text))
-                if len(w) < size or key in batch.seen:
+                if len(w) < size or (doc, sub) in batch.seen:
                     continue
-                batch.seen.add(key)
-                batch.words.append(np.fromiter(map(lookup, w), np.uint64, len(w)))
-                batch.docs.append(key)
+                batch.seen.add((doc, sub))
+                batch.words.append(np.fromiter(map(hashes, w), np.uint64, len(w)))
+                batch.docs.append((doc, sub))
                 batch.size += len(w)
                 if batch.size >= BATCH_WINDOWS:
                     yield from send(batch)
@@ -215,117 +229,227 @@ def _edges(batches: Iterable[pa.RecordBatch], size: int, seed: int, slots: int)
     yield from send(batch)
 
 
-def _paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _uneven(value: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Marks the entries of groups whose entries have more than one value."""
+    many = np.diff(np.append(at, len(order)))
+    v = value[order]
+    other = np.logical_or.reduceat(v != np.repeat(v[at], many), at)
+    out = np.zeros(len(value), bool)
+    out[order] = np.repeat(other, many)
+    return out
+
+
+def _compared(got: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The pieces of repeated edges among the rows of a slot."""
+    head, flat = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    n = np.abs(head["n"].astype(np.int64))
+    begin = np.cumsum(n) - n
+    # Only minimizers that came twice can hold a repeated window, besides those found by a batch.
+    by = np.argsort(head["minimizer"], kind="stable")
+    m = head["minimizer"][by]
+    twice = np.zeros(len(m), bool)
+    same = m[1:] == m[:-1]
+    twice[1:] |= same
+    twice[:-1] |= same
+    rows = by[twice | (head["n"][by] < 0)]
+    if not len(rows):
+        return np.empty(0, _PIECE)
+    rows = rows[np.lexsort((head["start"][rows], head["sub"][rows], head["doc"][rows]))]
+    rn = n[rows]
+    total = np.cumsum(rn)
+    window = np.repeat(begin[rows] - (total - rn), rn) + np.arange(total[-1])
+    row = np.repeat(rows, rn)
+    doc, sub, start = head["doc"][row], head["sub"][row], head["start"][row] + (window - begin[row])
+    h, m = flat[window], head["minimizer"][row]
+    order, at = _groups(h, m)
+    many = np.diff(np.append(at, len(h)))
+    src = np.empty(len(h), np.int64)
+    src[order] = np.repeat(order[at], many)
+    later = (doc != doc[src]) | (sub != sub[src]) | (start != start[src])
+    repeated = np.zeros(len(h), bool)
+    repeated[order] = np.repeat(np.logical_or.reduceat((later | (head["n"][row] < 0))[order], at), many)
+    if not repeated.any():
+        return np.empty(0, _PIECE)
+    key = pair_hash(m, h)
+    follows = np.zeros(len(h), bool)
+    follows[1:] = row[1:] == row[:-1]
+    after, before = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    after[:-1][follows[1:]] = key[1:][follows[1:]]
+    before[1:][follows[1:]] = key[:-1][follows[1:]]
+    begins = ~follows | _uneven(before, order, at)
+    begins[1:] |= _uneven(after, order, at)[:-1] | (repeated[1:] != repeated[:-1]) | (later[1:] != later[:-1])
+    begins[1:] |= (doc[src[1:]] != doc[src[:-1]]) | (sub[src[1:]] != sub[src[:-1]]) | (start[src[1:]] != start[src[:-1]] + 1)
+    return _pieces(np.flatnonzero(repeated), begins, doc, sub, start, src, key)
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the rows of each slot; slots come sorted, one at a time is held."""
     held: list[bytes] = []
     slot = None
 
-    def compare() -> Iterator[pa.RecordBatch]:
-        if slot is None:
-            return
-        if slot < 0:
-            for b in held:
-                head = np.frombuffer(b, _HEAD)
-                yield _spans(head["doc_id"], head["sub"], head["start"], head["start"] + head["n"])
-            return
-        got = [unpack_rows(b) for b in held]
-        head, flat = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        n = head["n"].astype(np.int64)
-        begin = np.cumsum(n) - n
-        # Only minimizers that came twice can hold a repeated window.
-        by = np.argsort(head["minimizer"], kind="stable")
-        m = head["minimizer"][by]
-        twice = np.zeros(len(m), bool)
-        same = m[1:] == m[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        rows = by[twice]
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((head["start"][rows], head["sub"][rows], head["doc_id"][rows]))]
-        rn = n[rows]
-        total = np.cumsum(rn)
-        window = np.repeat(begin[rows] - (total - rn), rn) + np.arange(total[-1])
-        row = np.repeat(rows, rn)
-        start = head["start"][row] + (window - begin[row])
-        key = flat[window] ^ head["minimizer"][row]
-        found = np.flatnonzero(_later(key, head["doc_id"][row], head["sub"][row], start))
-        if not len(found):
-            return
-        row, place = row[found], start[found]
-        at = np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)))
-        at = np.flatnonzero(at)
-        n_run = np.diff(np.append(at, len(row)))
-        r = row[at]
-        yield _spans(head["doc_id"][r], head["sub"][r], place[at], place[at] + n_run)
+    def sent(pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(pieces), 1 << 16):
+            part = pieces[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in _PIECE.names], names=list(_PIECE.names))
 
     for batch in batches:
         slots = batch["slot"].to_pylist()
         for i, s in enumerate(slots):
-            if s != slot or (s < 0 and len(held) > 64):
-                yield from compare()
+            blob = batch["blob"][i].as_py()
+            if s < 0:
+                yield from sent(np.frombuffer(blob, _PIECE))
+                continue
+            if s != slot:
+                if held:
+                    yield from sent(_compared([unpack_rows(b) for b in held]))
                 slot, held = s, []
-            held.append(batch["blob"][i].as_py())
-    yield from compare()
+            held.append(blob)
+    if held:
+        yield from sent(_compared([unpack_rows(b) for b in held]))
 
 
-def repeated_paths(docs: DataFrame, *, size: int = 20, seed: int = 8, slots: int | None = None) -> DataFrame:
-    """The windows that also start earlier, as runs: doc_id, sub, first, last (exclusive) starts."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _sources(docs: DataFrame) -> DataFrame:
+    """doc_id, its rank ``doc``, what tells rows with one rank apart (``sub``), and text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    if not rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return rows.withColumn("sub", F.lit(0).cast("long"))
+    # 63 bits of the text's hash; below all others where there is no id.
+    low = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    return rows.withColumn("sub", F.when(F.col("doc_id").isNull(), low - F.lit((1 << 63) - 1) - 1).otherwise(low))
+
+
+def repeated_pieces(sources: DataFrame, *, size: int = 20, seed: int = 8, slots: int | None = None, salt: int = 7) -> DataFrame:
+    """All walks of repeated edges, the earliest too, as pieces (see the module's text)."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = slots or 16 * parts
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.where("text is not null").mapInArrow(partial(_edges, size=size, seed=seed, slots=slots), _ROWS)
+    rows = sources.where("text is not null").select("doc", "sub", F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(partial(_edges, size=size, seed=seed, slots=slots, salt=salt), _ROWS)
     # What a batch has found itself needs no partner: it is dealt out evenly.
     deal = F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.xxhash64("blob"))
     rows = rows.withColumn("deal", deal.cast("long")).repartition(parts, "deal").sortWithinPartitions("slot")
-    return rows.select("slot", "blob").mapInArrow(_paths, _SPANS)
+    return rows.select("slot", "blob").mapInArrow(_meet, _PIECES)
+
+
+def nodes_of(pieces: DataFrame) -> DataFrame:
+    """The passages between pieces: edge ``e``, the edge ``f`` after it, its walks, and the node's degrees."""
+    ends = pieces.select("doc", "sub", F.col("last").alias("at"), F.col("e_last").alias("e"))
+    heads = pieces.select("doc", "sub", F.col("first").alias("at"), F.col("e_first").alias("f"))
+    passages = ends.join(heads, ["doc", "sub", "at"]).groupBy("e", "f").agg(F.count(F.lit(1)).alias("walks"))
+    passages = materialize(passages, "passages")
+    out_degree = passages.groupBy("e").agg(F.count(F.lit(1)).alias("out_degree"))
+    in_degree = passages.groupBy("f").agg(F.count(F.lit(1)).alias("in_degree"))
+    return passages.join(out_degree, "e").join(in_degree, "f")
+
+
+def paths_of(pieces: DataFrame) -> DataFrame:
+    """The later walks, compacted: doc, sub, first, last, s_doc, s_sub, s_first of every path."""
+    plain = nodes_of(pieces).where("in_degree = 1 and out_degree = 1")
+    plain = materialize(plain.select(F.xxhash64("e", "f").alias("node"), "walks", F.lit(True).alias("plain")), "nodes")
+    total = plain.agg(F.sum("walks")).first()[0] or 0
+    later = pieces.where("not (doc = s_doc and sub = s_sub and first = s_first)")
+    along = Window.partitionBy("doc", "sub").orderBy("first")
+    before = F.lag(F.struct("first", "last", "s_doc", "s_sub", "s_first", "e_last")).over(along)
+    goes_on = (
+        (F.col("p.last") == F.col("first"))
+        & (F.col("p.s_doc") == F.col("s_doc"))
+        & (F.col("p.s_sub") == F.col("s_sub"))
+        & (F.col("p.s_first") + F.col("p.last") - F.col("p.first") == F.col("s_first"))
+    )
+    rows = later.withColumn("p", before).withColumn("node", F.when(goes_on, F.xxhash64("p.e_last", "e_first")))
+    rows = rows.select("doc", "sub", "first", "last", "s_doc", "s_sub", "s_first", "node")
+    met = lookup(rows, plain, "node", "walks", F.xxhash64("doc", "sub", "first"), total=total)
+    path = F.sum(F.when(F.col("plain"), 0).otherwise(1)).over(along)
+    met = met.withColumn("path", path).groupBy("doc", "sub", "path")
+    source = F.min_by(F.struct("s_doc", "s_sub", "s_first"), "first").alias("s")
+    return met.agg(F.min("first").alias("first"), F.max("last").alias("last"), source).select("doc", "sub", "first", "last", "s.*")
+
+
+def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way: a length and the zstd bytes; null stays null."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, 256):
+            part = rb.slice(at, 256)
+            out = [None if t is None else len(t).to_bytes(4, "little") + (pa.compress(t, codec="zstd", asbytes=True) if t else b"") for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in ("doc_id", "doc", "sub")), pa.array(out, pa.binary())], names=["doc_id", "doc", "sub", "text"])
+
+
+def _text(data: bytes | None) -> bytes:
+    n = int.from_bytes(data[:4], "little") if data else 0
+    return pa.decompress(data[4:], n, codec="zstd", asbytes=True) if n else b""
+
+
+#: A document's result, or (kind 1) the digest of the words that a path or its source holds.
+_CUT = "kind int, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, span long, digest long"
 
 
 def _cut(batches: Iterable[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _CUT.split(", ")]
     for rb in batches:
         for at in range(0, rb.num_rows, 256):
             part = rb.slice(at, 256)
-            n_words, n_removed, kept = [], [], []
-            for text, spans, rank in zip(*(part[c].to_pylist() for c in ("text", "spans", "copy")), strict=True):
-                w = words_of(text or b"")
-                n_words.append(len(w))
+            n_words, n_removed, kept, spans_, digests = [], [], [], [], []
+            for data, spans, rank in zip(*(part[c].to_pylist() for c in ("text", "spans", "copy")), strict=True):
+                w = words_of(_text(data))
+                pairs = []
+                for x in spans or ():
+                    a, b = x["first"], x["last"] + size - 1
+                    spans_.append(x["span"])
+                    digests.append(int.from_bytes(hashlib.blake2b(b" ".join(w[a:b]), digest_size=8).digest(), "little", signed=True))
+                    if x["own"]:
+                        pairs.append((a, b))
                 if rank and len(w) >= size:
-                    spans = [(0, len(w))]
-                if not spans:
-                    n_removed.append(0)
-                    kept.append(b" ".join(w))
-                    continue
-                pairs = sorted((s["first"], s["last"] + size - 1) if isinstance(s, dict) else s for s in spans)
+                    pairs = [(0, len(w))]
                 out: list[bytes] = []
                 done = 0
-                for a, b in pairs:
+                for a, b in sorted(pairs):
                     if a > done:
                         out += w[done:a]
                     done = max(done, b)
                 out += w[done:]
+                n_words.append(len(w))
                 n_removed.append(len(w) - len(out))
                 kept.append(b" ".join(out))
-            digests = [hashlib.sha256(k).hexdigest() for k in kept]
-            columns = [part["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if texts:
-                columns.append(pa.array([k.decode() for k in kept], pa.string()))
-                names.append("kept_text")
+            k, d = len(kept), len(digests)
+            columns = [
+                pa.array([0] * k + [1] * d, pa.int32()),
+                pa.concat_arrays([part["doc_id"], pa.nulls(d, pa.int64())]),
+                pa.array(n_words + [None] * d, pa.int64()),
+                pa.array(n_removed + [None] * d, pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in kept] + [None] * d, pa.string()),
+                pa.array([x.decode() for x in kept] + [None] * d if texts else [None] * (k + d), pa.string()),
+                pa.array([None] * k + spans_, pa.int64()),
+                pa.array([None] * k + digests, pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _home(sources: DataFrame, paths: DataFrame, size: int, texts: bool) -> DataFrame:
+    """Each document with what is cut from it, and digests of its own paths and of what others name it for."""
+    span = F.xxhash64("s_doc", "s_sub", "s_first", F.col("last") - F.col("first")).alias("span")
+    own = paths.select("doc", "sub", "first", "last", span, F.lit(True).alias("own"))
+    end = (F.col("s_first") + F.col("last") - F.col("first")).alias("last")
+    named = paths.select(F.col("s_doc").alias("doc"), F.col("s_sub").alias("sub"), F.col("s_first").alias("first"), end, span, F.lit(False).alias("own")).distinct()
+    spans = own.unionByName(named).groupBy("doc", "sub").agg(F.collect_list(F.struct("first", "last", "span", "own")).alias("spans"))
+    rows = sources.select("doc_id", "doc", "sub", F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(_squeezed, "doc_id long, doc long, sub long, text binary")
+    # Identical rows are one source to their partners; among themselves, the first stays.
+    same = Window.partitionBy("doc", "sub").orderBy(F.col("doc_id").asc_nulls_first())
+    met = rows.join(spans, ["doc", "sub"], "left").withColumn("copy", F.row_number().over(same) - 1)
+    return met.select("doc_id", "text", "spans", "copy").mapInArrow(partial(_cut, size=size, texts=texts), _CUT)
+
+
 def remove_repeats(docs: DataFrame, *, size: int = 20, seed: int = 8, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document."""
-    paths = repeated_paths(docs, size=size, seed=seed)
-    paths = paths.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    paths = paths.withColumnsRenamed({"doc_id": "__id", "sub": "__sub"})
-    least = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.withColumn("__id", F.coalesce("doc_id", least)).withColumn("__sub", F.xxhash64("text"))
-    # Identical rows are one source to their partners; among themselves, the first stays.
-    same = Window.partitionBy("__id", "__sub").orderBy("__id")
-    met = rows.join(paths, ["__id", "__sub"], "left").withColumn("copy", F.row_number().over(same) - 1)
-    met = met.withColumn("text", F.col("text").cast("binary"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return met.select("doc_id", "text", "spans", "copy").mapInArrow(partial(_cut, size=size, texts=texts), schema)
+    sources = _sources(docs)
+    for salt in (7, 107, 207):
+        pieces = materialize(repeated_pieces(sources, size=size, seed=seed, salt=salt), "pieces")
+        paths = materialize(paths_of(pieces), "paths")
+        out = materialize(_home(sources, paths, size, texts), "cut")
+        discard(pieces, paths)
+        differ = out.where("kind = 1").groupBy("span").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+        if not differ.limit(1).count():
+            columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
+            return out.where("kind = 0").select(*columns)
+        discard(out)
+    raise RuntimeError("windows of different words share their hashes under three salts")

@@ -318,6 +318,31 @@ def test_substrings_in_small_batches(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def _repeats(docs):
+    return sorted(map(tuple, substrings.remove_repeats(docs, texts=False).collect()), key=repr)
+
+
+def test_substrings_need_the_compaction_and_the_words(spark, monkeypatch):
+    """Paths compact over several minimizers, branches stay apart, and a false match of hashes is found out."""
+    passage, other = prose(90, 500).split(), prose(60, 501).split()
+    texts = [passage, other + passage, passage[:50] + other[:40], ["x"] * 3 + passage + ["y"] * 3]
+    texts.append([*texts[2], "z"])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    pieces = common.materialize(substrings.repeated_pieces(substrings._sources(docs)), "test")
+    nodes = substrings.nodes_of(pieces)
+    assert nodes.where("out_degree > 1").count() and nodes.where("in_degree = 1 and out_degree = 1").count()
+    paths = substrings.paths_of(pieces)
+    assert paths.where("doc = 3").count() < pieces.where("doc = 3 and s_doc <> 3").count()
+    assert paths.where("doc = 3").agg(F.sum(F.col("last") - F.col("first"))).first()[0] == 71
+    want = sorted(((k, *w) for k, w in enumerate(brute.substrings([" ".join(t) for t in texts]))), key=repr)
+    assert _repeats(docs) == want
+    monkeypatch.setattr(substrings, "paths_of", lambda pieces: pieces.limit(0).select("doc", "sub", "first", "last", "s_doc", "s_sub", "s_first"))
+    assert all(r[2] == 0 for r in _repeats(docs))
+    monkeypatch.setattr(substrings, "paths_of", lambda pieces: pieces.limit(1).selectExpr("3L as doc", "sub", "20 as first", "30 as last", "0L as s_doc", "sub as s_sub", "5 as s_first"))
+    with pytest.raises(RuntimeError, match="share their hashes"):
+        substrings.remove_repeats(docs)
+
+
 def test_language(spark, docs, empty):
     letters = {"aa": "abcd", "bb": "wxyz", "cc": "äöüß"}
     r = random.Random(1)
