@@ -4,8 +4,9 @@ A document's ids, closed by an end id, are cut where a rolling hash of the
 last ids says so, hence at the same places in every copy of a passage. Each
 distinct chunk is stored once under its BLAKE2 address; a document is a recipe
 of addresses; recipes lie in ascending ``doc_id`` order in range partitions;
-a Merkle manifest (chunk address, recipe leaf, partition root, store root)
-ties them together.
+Merkle trees (chunk address, recipe leaf, partition root, store root) tie them
+together, and reading checks every chunk against its address and every recipe
+against the roots before anything is returned.
 
 Files below the store's folder:
 
@@ -14,9 +15,10 @@ Files below the store's folder:
 ``recipes``      ``doc_id``, ``pid``, ``rel_start`` (ids before it in its
     partition), ``n_tokens``, ``refs`` (address + 4-byte id count each), ``leaf``
 ``manifest``     per partition ``pid``, ``n_docs``, ``n_tokens``, ``root``
+``root``         one row: the root over all partitions' roots
 
-Cases: a null text is an empty one (its stream is the end id alone); a null
-``doc_id`` sorts first; rows that repeat a ``doc_id`` keep a stream each, in
+Cases: a null text is an empty one (its stream is the end id alone); a text of
+any length is one stream, cut into chunks of bounded length; a null ``doc_id`` sorts first; rows that repeat a ``doc_id`` keep a stream each, in
 order of their contents; an empty table gives an empty store. Other columns of
 the input are not looked at.
 """
@@ -33,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_shift, new_path, shuffle_partitions
+from .common import crc_shift, lookup, new_path, shuffle_partitions
 from .tokens import encoder
 
 #: Chunk lengths in ids: none is cut shorter, about this many on average, none is longer.
 LEAST, MEAN, MOST, WINDOW = 64, 512, 4096, 16
 _ENC = "kind int, slot int, address binary, n long, ids binary, doc_id long, refs binary"
+#: Addresses that a task remembers, so as not to send a chunk twice.
+_REMEMBERED = 1_000_000
 _RECIPES = "doc_id long, pid int, rel_start long, n_tokens long, refs binary, leaf binary"
 
 
@@ -104,6 +108,8 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int)
                     a = address(piece)
                     refs.append(a + (e - last).to_bytes(4, "little"))
                     if a not in seen:
+                        if len(seen) >= _REMEMBERED:
+                            seen.clear()
                         seen.add(a)
                         chunks.append((a, e - last, piece))
                     last = e
@@ -127,17 +133,45 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int)
 
 
 def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the chunks that came before in this partition; equal addresses share one."""
-    seen: set[bytes] = set()
+    """Of chunks with one address, which stand next to each other, keep the first."""
+    last = None
     for batch in batches:
         keep = []
         for a in batch["address"].to_pylist():
-            keep.append(a is None or a not in seen)
-            if a is not None:
-                seen.add(a)
+            keep.append(a is None or a != last)
+            last = a
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def leaf_of(doc_id: int | None, refs: bytes) -> bytes:
+    """The leaf of a recipe."""
+    return address(repr(doc_id).encode() + b"|" + refs)
+
+
+class Tree:
+    """A Merkle tree over leaves as they come; holds one node a level."""
+
+    def __init__(self) -> None:
+        self.left: list[bytes | None] = []
+
+    def add(self, node: bytes) -> None:
+        """Append a leaf: two nodes of a level become one of the next."""
+        for k, other in enumerate(self.left):
+            if other is None:
+                self.left[k] = node
+                return
+            self.left[k], node = None, address(b"\x01" + other + node)
+        self.left.append(node)
+
+    def root(self) -> bytes:
+        """The root of what has come; what is left over at a level moves up as it is."""
+        node = b""
+        for other in self.left:
+            if other is not None:
+                node = address(b"\x01" + other + node) if node else other
+        return node or address(b"")
+
+
 def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Running starts within a partition and the recipes' leaves."""
     start = 0
@@ -146,7 +180,7 @@ def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = start + np.cumsum(n)
         refs = batch["refs"].to_pylist()
         ids = batch["doc_id"].to_pylist()
-        leaves = [address(repr(i).encode() + b"|" + r) for i, r in zip(ids, refs, strict=True)]
+        leaves = list(map(leaf_of, ids, refs))
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"],
@@ -169,7 +203,7 @@ def write(docs: DataFrame, vocabulary: str, *, end: int = 0, path: str | None =
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.mapInArrow(partial(_encode, path=vocabulary, end=end, slots=64 * parts), _ENC)
-    rows = rows.repartition(parts, "kind", "slot").mapInArrow(_once, _ENC)
+    rows = rows.repartition(parts, "kind", "slot").sortWithinPartitions("kind", "address").mapInArrow(_once, _ENC)
     rows.drop("slot").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
 
     data = spark.read.schema(_ENC.replace("slot int, ", "")).parquet(f"{path}/data")
@@ -178,27 +212,62 @@ def write(docs: DataFrame, vocabulary: str, *, end: int = 0, path: str | None =
     recipes = recipes.withColumn("pid", F.spark_partition_id()).mapInArrow(_number, _RECIPES)
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    _roots(recipes).write.parquet(f"{path}/manifest")
+    roots = _roots(spark.read.schema(_RECIPES).parquet(f"{path}/recipes"))
+    roots.write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(_store_root(spark, path),)], "root binary").coalesce(1).write.parquet(f"{path}/root")
     return path
 
 
+def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root over each partition's recipes, which come in order; leaves are made anew."""
+    pid, tree, docs, tokens = None, Tree(), 0, 0
+    out: list[tuple] = []
+    for batch in batches:
+        for p, i, n, refs in zip(*(batch[c].to_pylist() for c in ("pid", "doc_id", "n_tokens", "refs")), strict=True):
+            if p != pid:
+                if pid is not None:
+                    out.append((pid, docs, tokens, tree.root()))
+                pid, tree, docs, tokens = p, Tree(), 0, 0
+            tree.add(leaf_of(i, refs))
+            docs, tokens = docs + 1, tokens + n
+    if pid is not None:
+        out.append((pid, docs, tokens, tree.root()))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
+    yield pa.RecordBatch.from_arrays(columns, names=["pid", "n_docs", "n_tokens", "root"])
+
+
 def _roots(recipes: DataFrame) -> DataFrame:
-    """The manifest: each partition's counts and the SHA-256 of its leaves in order."""
-    leaves = F.array_sort(F.collect_list(F.struct("rel_start", "doc_id", F.hex("leaf").alias("leaf"))))
-    rows = recipes.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves")
-    )
-    return rows.select("pid", "n_docs", "n_tokens", F.sha2(F.array_join("leaves.leaf", ""), 256).alias("root"))
+    """The manifest: each partition's counts and the root over its recipes in order."""
+    parts = shuffle_partitions(recipes.sparkSession)
+    rows = recipes.select("pid", "rel_start", "doc_id", "n_tokens", "refs")
+    rows = rows.repartition(parts, "pid").sortWithinPartitions("pid", "rel_start")
+    return rows.mapInArrow(_trees, "pid int, n_docs long, n_tokens long, root binary")
+
+
+def _store_root(spark, path: str) -> bytes:
+    """The root over the manifest's partitions, of which there are as many as shuffle partitions."""
+    tree = Tree()
+    for r in spark.read.parquet(f"{path}/manifest").orderBy("pid").collect():
+        tree.add(address(f"{r.pid}|{r.n_docs}|{r.n_tokens}|".encode() + bytes(r.root)))
+    return tree.root()
 
 
 def broken(spark, path: str) -> DataFrame:
     """The partitions whose recipes no longer give the manifest's root; empty for a sound store."""
-    leaf = F.udf(lambda i, refs: address(repr(i).encode() + b"|" + bytes(refs)), "binary")
-    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    now = _roots(recipes.withColumn("leaf", leaf("doc_id", "refs"))).select("pid", F.col("root").alias("now"))
+    now = _roots(spark.read.schema(_RECIPES).parquet(f"{path}/recipes"))
+    now = now.select("pid", F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"), F.col("root").alias("now"))
     kept = spark.read.parquet(f"{path}/manifest")
-    return kept.join(now, "pid", "full").where("not (root <=> now)")
+    return kept.join(now, "pid", "full").where("not (root <=> now and n_docs <=> docs and n_tokens <=> tokens)")
+
+
+def check(spark, path: str) -> None:
+    """Fail when a recipe or a root isn't what was written."""
+    if bytes(spark.read.parquet(f"{path}/root").first()[0]) != _store_root(spark, path):
+        raise ValueError(f"the manifest of {path} doesn't give its store root")
+    bad = broken(spark, path).select("pid").limit(5).collect()
+    if bad:
+        raise ValueError(f"recipes of {path} don't give their roots: partitions {[r.pid for r in bad]}")
 
 
 def offsets(spark, path: str) -> DataFrame:
@@ -214,15 +283,12 @@ def offsets(spark, path: str) -> DataFrame:
 def _inspect(batches: Iterable[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     """Check each chunk against its address and take the CRC of its ids at 4 bytes each."""
     for batch in batches:
-        keys, crcs = [], []
+        crcs = []
         for a, data in zip(batch["address"].to_pylist(), batch["ids"].to_pylist(), strict=True):
             if address(data) != a:
                 raise ValueError(f"chunk {a.hex()} doesn't match its address")
-            keys.append(int.from_bytes(a[:8], "little", signed=True))
             crcs.append(zlib.crc32(np.frombuffer(data, width).astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), batch["address"], pa.array(crcs, pa.int64())], names=["key", "address", "crc"]
-        )
+        yield pa.RecordBatch.from_arrays([batch["address"], pa.array(crcs, pa.int64())], names=["address", "crc"])
 
 
 def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,20 +296,22 @@ def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         refs = batch["refs"].to_pylist()
         count = [len(r) // 20 for r in refs]
-        flat = np.frombuffer(b"".join(refs), np.dtype([("key", "<i8"), ("rest", "<i8"), ("n", "<u4")]))
+        flat = np.frombuffer(b"".join(refs), np.dtype([("address", "V16"), ("n", "<u4")]))
         n = flat["n"].astype(np.int64)
         row = np.repeat(np.arange(len(refs)), count)
         ends = np.cumsum(n)
+        offsets = pa.py_buffer((16 * np.arange(len(flat) + 1, dtype=np.int32)).tobytes())
+        addresses = pa.Array.from_buffers(pa.binary(), len(flat), [None, offsets, pa.py_buffer(flat["address"].tobytes())])
         total = np.array([0, *ends])[np.cumsum([0, *count])][1:]
         yield pa.RecordBatch.from_arrays(
             [
                 batch["pid"].take(pa.array(row)),
                 batch["rel_start"].take(pa.array(row)),
-                pa.array(np.ascontiguousarray(flat["key"])),
+                addresses,
                 pa.array(total[row] - ends if len(row) else n, pa.int64()),
                 pa.array(n),
             ],
-            names=["pid", "rel_start", "key", "after", "n"],
+            names=["pid", "rel_start", "address", "after", "n"],
         )
 
 
@@ -262,19 +330,24 @@ def _join_crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(spark, path: str, *, wide: bool = False) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32 of every document.
 
-    Chunks are read, verified and reduced to CRCs where they lie; only
+    Roots are checked first, whole. Chunks are read, verified and reduced to
+    CRCs where they lie; only
     addresses and CRCs move. A document's CRC is the XOR of its chunks' CRCs
     shifted by what follows them, which Spark aggregates in any order.
     """
+    check(spark, path)
     data = spark.read.schema(_ENC.replace("slot int, ", "")).parquet(f"{path}/data").where("kind = 0")
-    chunks = data.select("address", "ids").mapInArrow(
-        partial(_inspect, width="<u4" if wide else "<u2"), "key long, address binary, crc long"
-    )
+    chunks = data.select("address", "ids").mapInArrow(partial(_inspect, width="<u4" if wide else "<u2"), "address binary, crc long")
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     refs = recipes.select("pid", "rel_start", "refs").mapInArrow(
-        _spread, "pid int, rel_start long, key long, after long, n long"
+        _spread, "pid int, rel_start long, address binary, after long, n long"
     )
-    met = refs.join(chunks.select("key", "crc"), "key", "left")
+    # The chunk of an empty text may stand in a third of all recipes: such ones are broadcast.
+    uses = refs.groupBy("address").agg(F.count(F.lit(1)).alias("uses"))
+    facts = chunks.join(uses, "address", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    total = recipes.agg(F.sum(F.length("refs")) / 20).first()[0] or 0
+    apart = F.concat_ws(":", "pid", "rel_start", "after").cast("binary")
+    met = lookup(refs, facts, "address", "uses", apart, total=int(total))
     parts = met.select("pid", "rel_start", "after", "n", "crc").mapInArrow(
         _join_crc, "pid int, rel_start long, n long, part long"
     )

@@ -4,7 +4,8 @@ A BPE file's pre-tokenizer never joins what stands on both sides of a single
 blank, so a text's ids are its blank-separated parts' ids in a row. Natural
 text repeats its parts, and a bounded cache of them saves most of the library's
 work; what is not in the cache is encoded by the ``tokenizers`` library.
-``encode`` gives exactly what the library gives for the whole text.
+``encode`` gives exactly what the library gives for the whole text, special
+tokens that are spelt out in it included.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        #: Texts that hold one of these go to the library whole.
+        self.added = tuple(t.content for t in self.full.get_added_tokens_decoder().values() if t.content)
         self.model = self.full.model
         self.model._resize_cache(0)
         self.words = self.full.normalizer is not None
@@ -108,6 +110,8 @@ class Encoder:
         """The ids of a text as little-endian bytes of ``dtype``; null is empty."""
         if not text:
             return b""
+        if any(t in text for t in self.added) or self.words and any(t in text.lower() for t in self.added):
+            return array(self.code, self.full.encode(text, add_special_tokens=False).ids).tobytes()
         if self.words:
             return b"".join(map(self.tails.__getitem__, text.replace("\n", " ").split(" ")))
         if _TWO_SPACES.search(text):
