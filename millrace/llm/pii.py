@@ -6,13 +6,20 @@ telephone numbers and dates. A candidate that fails its validation may have
 taken in neighbours: its prefixes are tried, then the search goes on after its
 first group. A valid one is mapped by a keyed permutation of all values of its
 format, so it stays valid where it has check digits, keeps its punctuation,
-and equal values, in whatever document, get equal pseudonyms; the key undoes it (beside other digits, by the finds'
-places: a pseudonym and its neighbour may happen to validate as one).
+and equal values, in whatever document, get equal pseudonyms; the key undoes it
+(beside other digits, by the finds' places: a pseudonym and its neighbour may
+happen to validate as one).
+
+The key comes from the caller. :func:`session_key` takes it from the setting
+``spark.millrace.pii.key``; where none is set it draws one for this process, so
+that nobody can undo what was written, and other runs give other pseudonyms.
 
 The permutation is a Feistel network over [0, n) with n = a * b split in two
 near-equal halves; values beyond n walk the cycle until they fall inside.
 
-Cases: a null text stays null with no finds; an empty one stays empty; each
+Cases: a null text stays null with no finds; an empty one stays empty; a text
+of any length is searched whole, in time that follows its length, unbroken
+tokens too; each
 row is treated alone, so repeated rows, ties and null ids change nothing;
 an empty table gives no rows. Other columns, whatever their names, pass
 through.
@@ -23,22 +30,23 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "card", "iban", "ssn", "ipv4", "phone", "date")
-#: What the default key is worth: nothing. A deployment passes its own.
-DEMO_KEY = b"demonstration key"
+#: Where a session keeps the key.
+KEY_SETTING = "spark.millrace.pii.key"
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 _FIND = re.compile(
-    r"(?P<email>[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
+    r"(?<![\w.+-])[_.+-]*+(?P<email>[^\W_][\w.+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
     r"|(?<![\w.])(?:"
     r"(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
     r"|(?P<date>\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w]|[./-]\d)"
@@ -56,6 +64,8 @@ _GREEDY = {
         r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)"
     ),
 }
+#: The telephone country codes of one and of two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 _GROUP = re.compile(r"[^\W_]+")
 #: A text without one of these holds nothing that is looked for.
 _ANY = re.compile(r"@|\d[\d ().-]*\d")
@@ -120,9 +130,10 @@ class Pseudonyms:
             elif "a" <= c <= "z" or "A" <= c <= "Z":
                 sizes.append(26), base.append("a" if c >= "a" else "A")
             elif c.isalpha() and ord(c) > 127:
-                sizes.append(1 << 14), base.append("㐀")
-                if not 0x3400 <= ord(c) < 0x3400 + (1 << 14):  # into the block by its own code, from Latin on
-                    c = chr(0x3400 + ord(c) % (1 << 14))
+                letters, places = _other_letters()
+                sizes.append(len(letters)), base.append("L")
+                value = value * sizes[-1] + places[c]
+                continue
             else:
                 sizes.append(1), base.append(c)
             value = value * sizes[-1] + ord(c) - ord(base[-1])
@@ -131,12 +142,12 @@ class Pseudonyms:
             n *= k
         if n == 1:
             return s
-        shape = "".join("9" if k == 10 else "a" if b == "a" else "A" if k == 26 else b for k, b in zip(sizes, base, strict=True))
+        shape = "".join("9" if k == 10 else "a" if b == "a" else "A" if k == 26 else "\x00" if k > 26 else b for k, b in zip(sizes, base, strict=True))
         value = self.permute(f"{tweak}{shape}", n, value)
         out = []
         for k, b in zip(reversed(sizes), reversed(base), strict=True):
             value, d = divmod(value, k)
-            out.append(chr(ord(b) + d))
+            out.append(_other_letters()[0][d] if k > 26 else chr(ord(b) + d))
         return "".join(reversed(out))
 
     # --- one method a kind: the pseudonym, or None when the candidate isn't valid
@@ -183,7 +194,7 @@ class Pseudonyms:
 
     def phone(self, s: str) -> str | None:
         """A leading + and its country code stay; all other digits are permuted."""
-        code = re.match(r"\+\d{1,3}(?=\D)", s)
+        code = re.match(r"\+\d{1,3}(?=\D)", s) or _COUNTRY.match(s)
         d = re.sub(r"\D", "", s)
         if not 8 <= len(d) <= 15 and not (len(d) == 7 and code):
             return None
@@ -191,17 +202,29 @@ class Pseudonyms:
         return _refill(s, d[:keep] + self.digits("phone", d[keep:]))
 
     def date(self, s: str) -> str | None:
-        """Permuted among the days from 1900 to 2099; day and month keep their order and width."""
+        """Permuted among the days from 1900 to 2099; day and month keep their order and width.
+
+        With slashes the month is first; where it can't be, the day is, and
+        the image has such a day too, so that the order can be told again.
+        """
         mark = re.search(r"\D", s)[0]
         parts = [int(p) for p in s.split(mark)]
-        order = (0, 1, 2) if mark == "-" else (2, 0, 1) if mark == "/" else (2, 1, 0)
-        try:
-            day = datetime.date(*(parts[i] for i in order)).toordinal() - _FIRST_DAY
-        except ValueError:
+        orders = [(0, 1, 2)] if mark == "-" else [(2, 0, 1), (2, 1, 0)] if mark == "/" else [(2, 1, 0)]
+        for order in orders:
+            try:
+                day = datetime.date(*(parts[i] for i in order)).toordinal() - _FIRST_DAY
+                break
+            except ValueError:
+                pass
+        else:
             return None
         if not 0 <= day < _DAYS:
             return None
-        new = datetime.date.fromordinal(_FIRST_DAY + self.permute("date", _DAYS, day))
+        of = lambda x: datetime.date.fromordinal(_FIRST_DAY + x)
+        if order == orders[0]:
+            new = of(self.permute("date", _DAYS, day))
+        else:
+            new = of(self.walk("date, day first", _DAYS, day, lambda x: of(x).day > 12))
         wide = mark == "-" or all(len(p) != 1 for p in s.split(mark))
         fields = [0, 0, 0]
         for i, v in zip(order, (new.year, new.month, new.day), strict=True):
@@ -209,6 +232,13 @@ class Pseudonyms:
         return mark.join(str(v).zfill(2) if wide else str(v) for v in fields)
 
 
+@lru_cache(1)
+def _other_letters() -> tuple[str, dict[str, int]]:
+    """All letters beyond ASCII, and the place of each."""
+    letters = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalpha())
+    return letters, {c: i for i, c in enumerate(letters)}
+
+
 def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
@@ -228,15 +258,17 @@ def replace(text: str, keys: Pseudonyms) -> tuple[str, list[tuple[str, int, int]
         return text, []
     out, finds, last, at = [], [], 0, 0
     while m := _FIND.search(text, at):
-        kind, end, new = m.lastgroup, m.end(), getattr(keys, m.lastgroup)(m[0])
+        kind = m.lastgroup
+        begin, end = m.span(kind)
+        new = getattr(keys, kind)(m[kind])
         if new is None:
             kind, end, new = _shorter(text, m, keys)
         if new is None:
-            at = _GROUP.search(text, m.start()).end()
+            at = _GROUP.search(text, begin).end()
             continue
-        out += [text[last : m.start()], new]
+        out += [text[last:begin], new]
         last = at = end
-        finds.append((kind, m.start(), end))
+        finds.append((kind, begin, end))
     return "".join([*out, text[last:]]), finds
 
 
@@ -270,7 +302,18 @@ _RESULT = pa.struct(
 )
 
 
-def pseudonymise(text: Column, key: bytes = DEMO_KEY, back: bool = False) -> Column:
+@lru_cache(1)
+def _drawn() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or one drawn for this process."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _drawn()
+
+
+def pseudonymise(text: Column, key: bytes, back: bool = False) -> Column:
     """A struct of the text with pseudonyms and its ``finds`` (kind, first, last)."""
 
     @F.arrow_udf("struct<text:string,finds:array<struct<kind:string,first:bigint,last:bigint>>>")

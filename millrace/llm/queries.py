@@ -70,7 +70,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.withColumn("found", pii.pseudonymise(F.col("text")))
+    found = docs.withColumn("found", pii.pseudonymise(F.col("text"), pii.session_key(spark)))
     counts = [F.expr(f"cast(size(filter(found.finds, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in pii.KINDS]
     return found.select("doc_id", F.col("found.text").alias("text"), *counts)
 

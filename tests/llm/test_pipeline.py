@@ -31,7 +31,7 @@ def test_stages(spark):
     hits = brute.decontaminate(list(before.values()), items)
     assert set(after) == {i for i, (_, _, found) in zip(before, hits) if not found}
     before, after = map(text, steps["personal data"])
-    keys = pii.Pseudonyms(pii.DEMO_KEY)
+    keys = pii.Pseudonyms(pii.session_key(spark))
     assert after == {i: pii.replace(t, keys)[0] for i, t in before.items()}
     packed = steps["packing"][1]
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == set(after)
