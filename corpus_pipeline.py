@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put pseudonyms in place of personal data; n_chars follows the new text."""
-    new = docs.withColumn("__new", pii.pseudonymise(F.col("text"))).withColumn("text", F.col("__new.text"))
+    new = docs.withColumn("__new", pii.pseudonymise(F.col("text"), pii.session_key(spark))).withColumn("text", F.col("__new.text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
