@@ -1,49 +1,52 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 1).
 
 A benchmark item is cut into windows of ``size`` words (a shorter item is one
-window). A document holds a window when all its words occur there in a row,
-so the overlap asked for is the whole window and its necessary prefix, under
-any total order of words, is the one rarest word. The order used is document
-frequency over the whole corpus, then the word itself.
-
-For each window the rarest word and its place are indexed. A document is read
-once: only its words that are somebody's prefix are looked at, the positional
-bound gives the one start they allow, the length bound drops starts that leave
-no room, and the words there are compared one by one.
-
-The index is broadcast in blocks whose size is checked: windows are dealt into
-as many blocks of at most ``block_bytes`` as they need, and the corpus is read
-once a block, so neither the driver nor a worker ever holds more than one.
-
-Cases: a null text has no words; rows of the benchmark without an ``item_id``
-or without words are no items; rows that repeat an ``item_id`` add their
-windows to that item; each document row gets its own result; empty tables
-give no hits. Other columns, whatever their names, pass through.
+window). A document holds a window when all its words occur there in a row, so
+all of the window's shingles of ``shingle`` words do; the overlap asked for is
+the whole set, and its necessary prefix, under any total order of shingles, is
+the one rarest of them. The order is how often a shingle occurs in the whole
+corpus, then its hash, then its place.
+
+* Each window is indexed under its prefix: the shingle and its place.
+* Documents are read twice, whatever the size of the benchmark: once to count
+  the shingles that windows have, once for the places at which a prefix stands,
+  each with the few words around it that a window could reach. Both passes look
+  at a bitmap of ``BITS`` bits, so what is broadcast never grows.
+* Places and prefixes meet in a join. The positional bound gives the one start
+  a place allows, the length bound drops starts that leave no room before or
+  after, and the words there are compared with the window's. A prefix that is
+  hot in the corpus is broadcast (:func:`common.lookup`).
+* Verified windows are gathered by document and joined to the rows.
+
+Cases: a null text has no words; a text of any length is read whole, and sends
+only what stands around prefixes; shingles that tie in rarity are ordered by
+hash and place; rows of the benchmark without an ``item_id`` or without words
+are no items; rows that repeat an ``item_id`` add their windows to that item;
+each document row, repeated ones too, gets its own result; empty tables give no
+hits. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, lookup, materialize, window_hashes
 
 #: Word bytes as the contract fixes them: 0-9, a-z (after lower-casing A-Z) and all beyond ASCII.
 _SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 _BLANKED = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-_HITS = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<bigint>>"
-_HITS_ARROW = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-        ("items", pa.list_(pa.int64())),
-    ]
-)
+#: As a pattern, before lower-casing.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Bits of the bitmaps that are broadcast.
+BITS = 1 << 22
+_SPAN = "array<struct<first:bigint,last:bigint>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,6 +54,24 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_BLANKED).split() if text else []
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words, kept for the words seen of late."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 11)
+        return h
+
+
+_HASHES = _WordHashes()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """A hash of each word."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def _windows(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         out: list[tuple[bytes, int]] = []
@@ -70,103 +91,136 @@ def windows(benchmark: DataFrame, size: int = 8) -> DataFrame:
     return rows.mapInArrow(partial(_windows, size=size), "window binary, item_id long").distinct()
 
 
-def _frequencies(batches: Iterable[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    known = vocabulary.value
-    count: Counter[bytes] = Counter()
+def _tokens(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Each shingle of each window, with its place."""
+    for rb in batches:
+        at, tokens, places, widths = [], [], [], []
+        for k, window in enumerate(rb["window"].to_pylist()):
+            w = window.split(b" ")
+            h = window_hashes(hashes_of(w), min(shingle, len(w)))
+            at += [k] * len(h)
+            tokens.append(h)
+            places += range(len(h))
+            widths += [min(shingle, len(w))] * len(h)
+        flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [rb["window"].take(pa.array(at, pa.int64())), pa.array(flat), pa.array(places, pa.int32()), pa.array(widths, pa.int32())],
+            names=["window", "token", "place", "width"],
+        )
+
+
+def bitmap(tokens: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bit set for each ``token``; at most ``bits / 64`` rows reach the driver."""
+    bit = F.expr(f"token & {bits - 1}L")
+    rows = tokens.groupBy(F.shiftright(bit, 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(token & 63 as int)))").alias("v")).collect()
+    words = np.zeros(bits // 64, np.int64)
+    for r in rows:
+        words[r.k] = r.v
+    return words.view(np.uint64)
+
+
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where the bitmap has the hash's bit."""
+    i = h & np.uint64(len(bits) * 64 - 1)
+    return np.flatnonzero(bits[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1))
+
+
+def _counts(batches: Iterable[pa.RecordBatch], known, widths: list[int]) -> Iterator[pa.RecordBatch]:
+    """How often the task's documents hold each shingle whose bit is set."""
+    some: list[np.ndarray] = []
     for rb in batches:
         for at in range(0, rb.num_rows, 256):
             for text in rb["text"].slice(at, 256).to_pylist():
-                count.update(known.intersection(words_of(text)))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"]
-    )
+                h = hashes_of(words_of(text))
+                for n in widths:
+                    s = window_hashes(h, n)
+                    some.append(s[_held(known.value, s)])
+        if len(some) > 4096 and sum(map(len, some)) > 1 << 18:
+            yield _counted(some)
+            some = []
+    yield _counted(some)
 
 
-class _Index:
-    """Prefix word -> (its place, the window's words, the window's items)."""
+def _counted(some: list[np.ndarray]) -> pa.RecordBatch:
+    token, n = np.unique(np.concatenate(some) if some else np.empty(0, np.uint64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    def __init__(self, rows: list[tuple[bytes, list[int]]], rarity: dict[bytes, int]) -> None:
-        self.by: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
-        for window, items in rows:
-            w = window.split(b" ")
-            place = min(range(len(w)), key=lambda i: (rarity.get(w[i], 0), w[i], i))
-            self.by.setdefault(w[place], []).append((place, w, items))
-
-    def find(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[int]]:
-        """n_words, the disjoint spans of hit words, and the items found."""
-        words = words_of(text)
-        n = len(words)
-        if self.by.keys().isdisjoint(words):
-            return n, [], []
-        starts: dict[int, int] = {}
-        items: set[int] = set()
-        for i, word in enumerate(words):
-            for place, window, owners in self.by.get(word, ()):
-                a = i - place
-                b = a + len(window)
-                if a >= 0 and b <= n and words[a:b] == window:
-                    starts[a] = max(b, starts.get(a, 0))
-                    items.update(owners)
-        spans: list[tuple[int, int]] = []
-        for a in sorted(starts):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], starts[a]))
-            else:
-                spans.append((a, starts[a]))
-        return n, spans, sorted(items)
-
-
-_BUILT: dict[int, _Index] = {}
-
-
-def _scan(index) -> Column:
-    """The UDF that looks for one block's windows."""
-    key = id(index)
-
-    @F.arrow_udf(_HITS)
-    def find(texts: pa.Array) -> pa.Array:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = _Index(*index.value)
-        built = _BUILT[key]
-        out = []
-        for at in range(0, len(texts), 256):
-            for text in texts.slice(at, 256).to_pylist():
-                n, spans, items = built.find(text)
-                out.append({"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": items})
-        return pa.array(out, _HITS_ARROW)
-
-    return find
-
-
-def add_hits(
-    docs: DataFrame, benchmark: DataFrame, *, size: int = 8, hits: str = "hits", block_bytes: int = 32 << 20
-) -> DataFrame:
-    """``docs`` with a column ``hits``: n_words, spans of hit words, items found."""
+
+_PLACES = "id long, mark long, token long, at int, n_words int, before int, around binary"
+
+
+def _places(batches: Iterable[pa.RecordBatch], prefixes, widths: list[int], size: int) -> Iterator[pa.RecordBatch]:
+    """Where a prefix may stand in each document, and the words around that a window can reach."""
+    for rb in batches:
+        for begin in range(0, rb.num_rows, 256):
+            part = rb.slice(begin, 256)
+            out: list[tuple] = []
+            for doc, mark, text in zip(*(part[c].to_pylist() for c in ("id", "mark", "text")), strict=True):
+                w = words_of(text)
+                h = hashes_of(w)
+                for n in widths:
+                    s = window_hashes(h, n)
+                    for i in _held(prefixes.value, s).tolist():
+                        low = max(0, i - size + n)
+                        out.append((doc, mark, int(s[i].view(np.int64)), i, len(w), i - low, b" ".join(w[low : i + size])))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PLACES.split(", ")])
+
+
+def _identity(docs: DataFrame) -> dict[str, Column]:
+    """What a row's hits go by: its id and its text's hash."""
+    return {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "mark": F.xxhash64(F.col("text").cast("string"))}
+
+
+def found(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, shingle: int = 5) -> DataFrame:
+    """id, mark, spans and items of the documents that hold a window."""
     spark = docs.sparkSession
     rows = windows(benchmark, size).groupBy("window").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     rows = materialize(rows, "windows")
-    weight = F.length("window") + 8 * F.size("items")
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    blocks = 1 + total * 2 // block_bytes
-    text = F.col("text").cast("binary")
-    found = []
-    for b in range(blocks):
-        block = [(bytes(r.window), list(r.items)) for r in rows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()]
-        vocabulary = spark.sparkContext.broadcast({w for window, _ in block for w in window.split(b" ")})
-        counts = docs.select(text.alias("text")).mapInArrow(partial(_frequencies, vocabulary=vocabulary), "word binary, n long")
-        rarity = {bytes(r.word): r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()} if block else {}
-        index = spark.sparkContext.broadcast((block, rarity))
-        found.append(f"__hits_{b}")
-        docs = docs.withColumn(found[-1], _scan(index)(text))
-        if blocks > 1:
-            docs = materialize(docs, "scanned")  # so that a worker holds one block at a time
-    if blocks == 1:
-        return docs.withColumnRenamed(found[0], hits)
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{c}.spans") for c in found])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in found]))))
-    one = F.struct(F.col(f"{found[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    return docs.withColumn(hits, one).drop(*found)
+    tokens = rows.select("window").mapInArrow(partial(_tokens, shingle=shingle), "window binary, token long, place int, width int")
+    tokens = materialize(tokens, "tokens")
+    widths = sorted(r.width for r in tokens.select("width").distinct().collect())  # at most ``shingle`` of them
+    texts = docs.select(*[c.alias(k) for k, c in _identity(docs).items()], F.col("text").cast("binary").alias("text"))
+    known = spark.sparkContext.broadcast(bitmap(tokens))
+    counts = texts.select("text").mapInArrow(partial(_counts, known=known, widths=widths), "token long, n long")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
+    rarity = tokens.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rarity.groupBy("window").agg(F.min(F.struct("n", "token", "place")).alias("p"))
+    prefixes = rarest.join(rows, "window").where("p.n > 0")  # a shingle that no document has rules its window out
+    prefixes = materialize(prefixes.select("p.token", "p.n", F.struct(F.col("p.place").alias("place"), "window", "items").alias("w")), "prefixes")
+    index = prefixes.groupBy("token").agg(F.max("n").alias("n"), F.collect_list("w").alias("windows"))
+    wanted = spark.sparkContext.broadcast(bitmap(prefixes.select("token").distinct()))
+    places = texts.mapInArrow(partial(_places, prefixes=wanted, widths=widths, size=size), _PLACES)
+    total = index.agg(F.sum("n")).first()[0] or 0
+    met = lookup(places, index, "token", "n", F.xxhash64("id", "mark", "at"), total=total)
+    met = met.select("id", "mark", "at", "n_words", "before", F.split(F.col("around").cast("string"), " ").alias("around"), F.explode("windows").alias("w"))
+    met = met.withColumn("window", F.col("w.window").cast("string")).withColumn("n", F.size(F.split("window", " ")))
+    start = F.col("at") - F.col("w.place")
+    fits = (F.col("before") >= F.col("w.place")) & (start + F.col("n") <= F.col("n_words"))
+    same = F.array_join(F.slice("around", F.greatest(F.lit(1), F.col("before") - F.col("w.place") + 1), F.col("n")), " ") == F.col("window")
+    held = met.where(fits).where(same)
+    span = F.struct(start.cast("long").alias("first"), (start + F.col("n")).cast("long").alias("last"))
+    held = held.groupBy("id", "mark").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.flatten(F.collect_set("w.items")).alias("items"))
+    held = materialize(held.withColumn("items", F.sort_array(F.array_distinct("items"))), "hits")
+    discard(rows, tokens, prefixes)
+    return held
+
+
+def add_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, shingle: int = 5, hits: str = "hits") -> DataFrame:
+    """``docs`` with a column ``hits``: n_words, spans of hit words (sorted; they may overlap), items found."""
+    held = found(docs, benchmark, size=size, shingle=shingle)
+    held = held.select(F.col("id").alias("__d_id"), F.col("mark").alias("__d_mark"), F.col("spans").alias("__d_spans"), F.col("items").alias("__d_items"))
+    keys = _identity(docs)
+    # Few documents hold an item: Spark broadcasts the hits when they are small, by their files' size.
+    met = docs.withColumn("__d_id", keys["id"]).withColumn("__d_mark", keys["mark"]).join(held, ["__d_id", "__d_mark"], "left")
+    one = F.struct(
+        F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.coalesce("__d_spans", F.array().cast(_SPAN)).alias("spans"),
+        F.coalesce("__d_items", F.array().cast("array<bigint>")).alias("items"),
+    )
+    return met.withColumn(hits, one).drop("__d_id", "__d_mark", "__d_spans", "__d_items")
 
 
 def hit_words(spans: Column) -> Column:

@@ -62,16 +62,31 @@ def rows_of(df, *cols):
 ITEMS = [(1, " ".join("a b c d e f g h i j".split())), (2, "C D E F G H I J"), (3, "two words"), (3, "one"), (None, "lost item"), (4, None), (5, PASSAGE)]
 
 
-@pytest.mark.parametrize("block", [32 << 20, 400])
-def test_decontamination(spark, docs, block):
+@pytest.mark.parametrize("bits", [1 << 22, 1 << 7])
+def test_decontamination(spark, docs, monkeypatch, bits):
+    """With few bits the bitmaps let nearly all through, and the join decides alone."""
+    monkeypatch.setattr(decontaminate.bitmap, "__defaults__", (bits,))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.add_hits(docs, items, hits="__hits", block_bytes=block)
+    got = decontaminate.add_hits(docs, items, hits="__hits")
     assert set(docs.columns) < set(got.columns)
     got = got.select("doc_id", "text", "__hits.n_words", decontaminate.hit_words(F.col("__hits.spans")).alias("n"), "__hits.items")
     want = brute.decontaminate([t for _, t in ROWS], ITEMS)
     assert sorted(map(repr, map(tuple, got.drop("text").collect()))) == sorted(repr((i, *w)) for (i, _), w in zip(ROWS, want))
 
 
+def test_decontamination_ties_and_overlaps(spark):
+    """Windows whose shingles are equally rare, repeat inside one window, or begin and end a text."""
+    r = random.Random(6)
+    word = lambda: r.choice(["ab", "cd", "e"])
+    items = [(k, " ".join(word() for _ in range(r.choice([3, 5, 8, 9, 12])))) for k in range(12)] + [(99, "ab " * 30), (100, "never seen anywhere at all in the whole corpus")]
+    texts = [" ".join(word() for _ in range(r.randrange(120))) for _ in range(25)] + [items[k][1] for k in range(12)] + ["AB-" * 50]
+    docs = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, __hits_0 string").repartition(3)
+    got = decontaminate.add_hits(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = got.select("doc_id", "hits.n_words", decontaminate.hit_words(F.col("hits.spans")), "hits.items")
+    want = brute.decontaminate(texts, items)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i // 2, *w)) for i, w in enumerate(want))
+
+
 def test_decontamination_empty(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.add_hits(docs, items, hits="__hits").where("size(__hits.items) > 0").count() == 0
