@@ -11,10 +11,11 @@ reduced to distinct (value, owner, repository), then to counts per value, so a
 value in a third of all rows is no hot group. Verdicts go back to candidates
 by a look-up that broadcasts the few hot values and shuffles the rest.
 
-Positions come from the pieces between matches, in Spark's own functions: no
-Python runs on executors. All positions are code points, the end exclusive.
+Positions are running sums over the pieces between matches, in Spark's own
+functions: no Python runs on executors. All positions are code points, the end exclusive.
 
-Cases: a null text is empty; a null owner or repository counts as one of its
+Cases: a null text is empty; a text of any length is searched whole, and many
+finds in one text cost no square of their number; a null owner or repository counts as one of its
 own; repeated rows hold the same values once per owner; values that tie share
 a verdict; a null ``doc_id`` passes through; an empty table gives no rows.
 Other columns are not looked at.
@@ -22,6 +23,8 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +56,41 @@ def found(text: Column, pattern: str, group: int, kind: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     # What stands before each match, and after the last; zipped, so that it is computed once.
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("m"), values.alias("v"))
+    ends = running(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
     none = F.array().cast("array<struct<start:int,rank:int,last:int,value:string,kind:string>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        last = start + F.length(x["m"])
-        one = F.struct(
-            start.alias("start"),
+    def one(x: Column) -> Column:
+        return F.struct(
+            (x["end"] - F.length(x["p"]["m"])).alias("start"),
             F.lit(KINDS.index(kind)).alias("rank"),
-            last.alias("last"),
-            x["v"].alias("value"),
+            x["end"].alias("last"),
+            x["p"]["v"].alias("value"),
             F.lit(kind).alias("kind"),
         )
-        return F.when(x["m"].isNull(), a).otherwise(
-            F.struct(last.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-        )
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda a: a["out"])).otherwise(none)
+    both = F.filter(F.arrays_zip(parts.alias("p"), ends.alias("end")), lambda x: x["p"]["m"].isNotNull())
+    return F.when(text.rlike(pattern), F.transform(both, one)).otherwise(none)
+
+
+def running(rows: Column, length: Callable[[Column], Column], block: int = 256) -> Column:
+    """The running sums of the rows' lengths.
+
+    A fold that appends to an array costs the square of its length, so blocks
+    are folded apart and then moved by what stands before them.
+    """
+    grown = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / block).cast("int")), lambda i: i * block + 1)
+    inside = F.transform(starts, lambda i: F.aggregate(F.transform(F.slice(rows, i, F.lit(block)), length), begin, grown, lambda a: a["out"]))
+    moved = F.aggregate(
+        inside,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + F.element_at(x, -1)).alias("at"), F.concat(a["out"], F.array(F.transform(x, lambda y: y + a["at"]))).alias("out")
+        ),
+        lambda a: a["out"],
+    )
+    return F.flatten(moved)
 
 
 def _joined(spans: Column) -> Column:
