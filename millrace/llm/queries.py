@@ -26,9 +26,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of every document; a row's source is its repository and owner."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return secrets.scan(docs, owner="source", repository="source")
+    """The secrets of every document.
+
+    The test documents name no owner: a source stands for one, and what it has
+    in one language for one of its repositories.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", F.coalesce("source", F.lit("\x01")), "lang"))
+    return secrets.scan(docs.select("doc_id", "text", "source", "repository"), owner="source", repository="repository")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +59,7 @@ URL_LIST = [
     ("example.com/fr", "allow", "2024-05-01"),
     ("example.org", "allow", "2024-01-01"),
 ]
+_LIST = ", ".join(f"('{r}', '{a}', DATE '{d}')" for r, a, d in URL_LIST)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +67,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched"))
-    entries = spark.createDataFrame(URL_LIST, "rule string, action string, day string")
-    entries = entries.select("rule", "action", F.col("day").cast("date").alias("effective"))
+    entries = spark.sql(f"SELECT * FROM VALUES {_LIST} AS t(rule, action, effective)")
     return urls.judge(captures, entries).withColumnRenamed("capture_id", "page_id")
 
 
@@ -135,7 +139,6 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
-_LIST = ", ".join(f"('{r}', '{a}', DATE '{d}')" for r, a, d in URL_LIST)
 _OP5_SQL = f"""
 WITH entries(rule, action, since) AS (VALUES {_LIST}),
 valid AS (SELECT *, lead(since) OVER (PARTITION BY rule ORDER BY since) AS until FROM entries),
@@ -165,16 +168,16 @@ _PROVIDER_SQL = secrets.MORE["provider"][0]
 def _finds(kind: str, pattern: str, group: int, keep: str) -> str:
     """SQL for the finds of one kind: place, value and kind of each match that is kept."""
     return f"""
-  SELECT doc_id, source, {secrets.KINDS.index(kind)} AS rank, '{kind}' AS kind, v[i] AS value,
+  SELECT doc_id, source, repository, {secrets.KINDS.index(kind)} AS rank, '{kind}' AS kind, v[i] AS value,
     CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a,
     length(m[i]) AS n
-  FROM (SELECT doc_id, source, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+  FROM (SELECT doc_id, source, repository, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
     string_split_regex(t, '{pattern}') AS g FROM d), unnest(range(1, len(m) + 1)) u(i)
   WHERE {keep}"""
 
 
 _OP2_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, concat_ws('/', coalesce(source, chr(1)), lang) AS repository, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join([
     _finds("assign", _KEYWORD_SQL, 2, "length(v[i]) >= 12"),
     _finds("access", secrets.BASE["access"][0], 0, "true"),
@@ -182,18 +185,18 @@ f AS ({" UNION ALL ".join([
     _finds("short", _KEYWORD_SQL, 2, "length(v[i]) BETWEEN 8 AND 11 AND regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')"),
     _finds("provider", _PROVIDER_SQL, 0, "true"),
 ])}),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
-j AS (SELECT f.*, owners, rank < {len(secrets.BASE)} AS base, kind || ':' || a || ':' || (a + n) AS span FROM f JOIN o USING (value)),
+o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT repository) AS repositories FROM f GROUP BY value),
+j AS (SELECT f.*, owners, repositories, rank < {len(secrets.BASE)} AS base, kind || ':' || a || ':' || (a + n) AS span FROM f JOIN o USING (value)),
 s AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, rank) FILTER (base) AS bases,
     string_agg(span, ',' ORDER BY a, rank) FILTER (base OR owners <= {secrets.MOST_OWNERS}) AS spans,
     count(*) FILTER (owners <= {secrets.MOST_OWNERS}) AS n_owner_specific, count(*) FILTER (owners > {secrets.MOST_OWNERS}) AS n_copied,
-    max(owners) AS most_owners FROM j GROUP BY doc_id
+    max(owners) AS most_owners, max(repositories) AS most_repositories FROM j GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owner_specific, 0) AS n_owner_specific,
-  coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_owners, 0) AS most_repositories
+  coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN s USING (doc_id)
 """
 _OP9_SQL = """

@@ -2,11 +2,12 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -112,6 +113,51 @@ def test_secret_ownership(spark):
     assert got[9].spans == "short:0:16" and got[9].n_owner_specific == 1
 
 
+def test_secrets_many_in_one_text(spark):
+    text = "".join(f"{k:016x} token={k:012d}; " for k in range(4000))
+    got = secrets.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()[0]
+    want = ",".join(f"{n}:{a}:{b}" for a, _, b, n in brute.secrets(text))
+    assert got.spans == want and got.n_hex == 4000 and got.n_assign == 4000
+
+
+def test_secrets_one_owner_in_many_repositories(spark):
+    """Owners decide: copies in one owner's repositories stay theirs; those of three owners are an example."""
+    rows = [(k, "api_key=mine4567 ghp_" + "Zq" * 18, "o1", f"o1/r{k}") for k in range(5)]
+    rows += [(10 + k, "api_key=EXAMPLE12", f"o{k}", f"o{k}/r") for k in range(3)] + [(20, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, who string, place string")
+    got = {r.doc_id: r for r in secrets.scan(frame, owner="who", repository="place").collect()}
+    assert [(got[k].most_owners, got[k].most_repositories, got[k].spans) for k in (0, 10, 20)] == [(1, 5, "short:0:16,provider:17:57"), (3, 3, ""), (0, 0, "")]
+
+
+def plain_scores(texts, good, bad):
+    """Scores and threshold by the stated rules, with a bucket for every n-gram."""
+    cut = {i: brute.words(t) for i, t in texts}
+    grams = {i: [*w, *zip(w, w[1:])] for i, w in cut.items()}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in good for g in grams[i])
+    due, prior = sum(target.values()) / sum(raw.values()), quality.PRIOR
+    score = {i: sum(math.log((target[g] + prior) / (raw[g] * due + prior)) for g in x) / len(x) if x else 0.0 for i, x in grams.items()}
+    passed = [i for i, t in texts if not brute.quality(t)[-1]]
+    low, high = np.quantile([score[i] for i in passed if i in good], 0.01), np.quantile([score[i] for i in passed if i in bad], 0.99)
+    return score, (low + high) / 2 if high < low else low
+
+
+def test_quality_against_a_plain_version(spark):
+    """With a bucket to itself for nearly every n-gram, scores, threshold and verdicts are the plain version's."""
+    r = random.Random(11)
+    clean, junk = [f"word{k}" for k in range(150)], [f"j{k}#" for k in range(150)]
+    make = lambda share: " ".join(r.choice(junk if r.random() < share else clean) for _ in range(r.randrange(30, 120)))
+    texts = [(i, make(r.choice([0, 0, 0.1, 0.5, 1]))) for i in range(120)]
+    rows = {i: (1 if t.count("#") < 5 else 0, int(i % 11 == 0)) for i, t in texts[:80]}
+    labels = spark.createDataFrame([(i, q, x) for i, (q, x) in rows.items()], "doc_id long, quality int, toxic int")
+    good, bad = {i for i, (q, x) in rows.items() if q and not x}, {i for i, (q, x) in rows.items() if not q and not x}
+    score, threshold = plain_scores(texts, good, bad)
+    got = quality.judge(spark.createDataFrame(texts, "doc_id long, text string"), labels, buckets=1 << 17).select("doc_id", "score", "kept").collect()
+    for g in got:
+        assert abs(g.score - score[g.doc_id]) < 0.02
+        if abs(score[g.doc_id] - threshold) > 0.02:
+            assert g.kept == (not brute.quality(dict(texts)[g.doc_id])[-1] and score[g.doc_id] >= threshold)
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (None, 1, 0), (11, 0, 0), (13, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels, prefix="__q_")
@@ -202,6 +248,39 @@ def test_url_list(spark):
     assert urls.judge(caps, entries.limit(0)).where("not kept").count() == 0
 
 
+def test_url_long_histories_against_a_plain_version(spark, monkeypatch):
+    """As-of over histories of many stretches, with long URLs, clashing names and repeated or missing ids."""
+    monkeypatch.setattr(urls, "STRETCH", 8)
+    r, day = random.Random(3), datetime.date(2024, 1, 1).toordinal()
+    of = datetime.date.fromordinal
+    names = ["a.org", "b.a.org", "a.org/x", "b.a.org/x/y", "org"]
+    log = [(r.choice(names), r.choice(["block", "allow", "drop"]), of(day + r.randrange(300))) for _ in range(400)]
+    long = "http://a.org/" + "x/" * 200_000
+    made = [f"http://{r.choice(['a.org', 'b.a.org', 'c.b.a.org', 'z.net'])}/{r.choice(['', 'x', 'x/y', 'x/y/z', 'q'])}" for _ in range(150)] + [long, "http://" + "s." * 50_000 + "a.org/x"]
+    caps = [(None if k % 9 == 0 else k // 2, u, of(day - 5 + r.randrange(320))) for k, u in enumerate(made)]
+
+    def plain(url, at):
+        host, _, path = url[7:].partition("/")
+        best = None
+        for rule in names:
+            h, _, p = rule.partition("/")
+            if not ("." + host).endswith("." + h) or (p and not ("/" + path + "/").startswith("/" + p + "/")):
+                continue
+            dated = [(d, ("block", "allow", "drop").index(a), a) for n, a, d in log if n == rule and d <= at]
+            if dated:
+                last = max(d for d, _, _ in dated)
+                action = min(x[1:] for x in dated if x[0] == last)[1]
+                if action != "drop":
+                    best = max(best or ((0, 0), "", ""), ((len(h), len(rule)), rule, action))
+        return (best[1], best[2] != "block") if best else (None, True)
+
+    entries = spark.createDataFrame([(*x, 1, 2) for x in log], "rule string, action string, effective date, history int, row int")
+    frame = spark.createDataFrame([(*c, "q", 3) for c in caps], "capture_id long, url string, fetched date, rule string, row int")
+    for size in (64 << 20, 0):
+        got = [(x.capture_id, x.url, x.fetched, x.rule, x.kept) for x in urls.judge(frame, entries, broadcast_bytes=size).collect()]
+        assert sorted(map(repr, got)) == sorted(repr((*c, *plain(c[1], c[2]))) for c in caps)
+
+
 def test_url_rules_with_capitals_and_end_slashes(spark):
     day = datetime.date(2024, 1, 1)
     entries = spark.createDataFrame([("Example.com/FR", "block", day), ("slash.org/a/", "block", day), ("HOST.net/", "block", day)], "rule string, action string, effective date")
