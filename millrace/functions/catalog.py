@@ -8,6 +8,8 @@ say is in :mod:`millrace.functions.python` under names that begin with ``mr_``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 _TEXT = r"""
 -- conditions and errors
 NULLIFZERO: nullif($1, 0)
@@ -17,12 +19,12 @@ IS_INF: (abs($1) = double('Infinity'))
 IS_NAN: isnan($1)
 -- arithmetic
 ABS: abs($1)
-SIGN: cast(signum($1) as double)
-CEIL/1: cast(ceil($1) as double)
-CEILING/1: cast(ceil($1) as double)
-FLOOR/1: cast(floor($1) as double)
-TRUNC/1: (case when $1 < 0 then cast(ceil($1) as double) else cast(floor($1) as double) end)
-TRUNC/2: (case when $1 < 0 then ceil($1 * pow(10, $2)) / pow(10, $2) else floor($1 * pow(10, $2)) / pow(10, $2) end)
+SIGN: (case when $1 > 0 then 1 when $1 < 0 then -1 else $1 * 0 end)
+CEIL/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 when $1 % 1 > 0 then $1 - $1 % 1 + 1 else $1 - $1 % 1 end)
+CEILING/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 when $1 % 1 > 0 then $1 - $1 % 1 + 1 else $1 - $1 % 1 end)
+FLOOR/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 % 1 < 0 then $1 - $1 % 1 - 1 else $1 - $1 % 1 end)
+TRUNC/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 else $1 - $1 % 1 end)
+TRUNC/2: (case when abs(round($1, $2)) > abs($1) then round(round($1, $2) - (case when $1 < 0 then -1 else 1 end) * $ulp2, $2) else round($1, $2) end)
 ROUND/3: (case when upper($3) = 'ROUND_HALF_EVEN' then bround($1, $2) else round($1, $2) end)
 MOD: ($1 % $2)
 DIV: ($1 div $2)
@@ -104,11 +106,18 @@ EDIT_DISTANCE/2: cast(levenshtein($1, $2) as bigint)
 EDIT_DISTANCE/3: (case when levenshtein($1, $2, cast($3 as int)) < 0 then cast($3 as bigint) else cast(levenshtein($1, $2, cast($3 as int)) as bigint) end)
 REGEXP_CONTAINS: regexp_like($1, $2)
 REGEXP_MATCH: regexp_like($1, concat('^(?:', $2, ')$'))
+REGEXP_EXTRACT/3: get(regexp_extract_all(substring($1, $3), $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end), 0)
+REGEXP_EXTRACT/4: get(regexp_extract_all(substring($1, $3), $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end), cast($4 as int) - 1)
 REGEXP_EXTRACT/2: (case when regexp_like($1, $2) then regexp_extract($1, $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end) end)
+REGEXP_SUBSTR/3: get(regexp_extract_all(substring($1, $3), $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end), 0)
+REGEXP_SUBSTR/4: get(regexp_extract_all(substring($1, $3), $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end), cast($4 as int) - 1)
 REGEXP_SUBSTR/2: (case when regexp_like($1, $2) then regexp_extract($1, $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end) end)
 REGEXP_EXTRACT_ALL/2: regexp_extract_all($1, $2, case when regexp_like($2, '(?<!\\\\)\\((?!\\?)') then 1 else 0 end)
 REGEXP_REPLACE/3: regexp_replace($1, $2, regexp_replace($3, '\\\\([0-9])', '\\$$1'))
 REGEXP_INSTR/2: cast(regexp_instr($1, $2) as bigint)
+REGEXP_INSTR/3: (case when regexp_instr(substring($1, $3), $2) = 0 then 0L else cast(regexp_instr(substring($1, $3), $2) + $3 - 1 as bigint) end)
+REGEXP_INSTR/4: (case when size(regexp_extract_all(substring($1, $3), $2, 0)) < $4 then 0L else cast($3 + aggregate(slice(split(substring($1, $3), $2, -1), 1, $4), 0, (__a, __s) -> __a + length(__s)) + aggregate(slice(regexp_extract_all(substring($1, $3), $2, 0), 1, $4 - 1), 0, (__a, __s) -> __a + length(__s)) as bigint) end)
+REGEXP_INSTR/5: (case when size(regexp_extract_all(substring($1, $3), $2, 0)) < $4 then 0L else cast($3 + aggregate(slice(split(substring($1, $3), $2, -1), 1, $4), 0, (__a, __s) -> __a + length(__s)) + aggregate(slice(regexp_extract_all(substring($1, $3), $2, 0), 1, $4 - 1 + $5), 0, (__a, __s) -> __a + length(__s)) as bigint) end)
 -- hashes and codecs
 MD5: unhex(md5($1))
 SHA1: unhex(sha1($1))
@@ -151,7 +160,7 @@ ARRAY_LAST_N: slice($1, cast(greatest(1, size($1) - $2 + 1) as int), cast($2 as
 ARRAY_REMOVE_FIRST_N: slice($1, cast($2 + 1 as int), size($1))
 ARRAY_REMOVE_LAST_N: slice($1, 1, cast(greatest(0, size($1) - $2) as int))
 ARRAY_SLICE: slice($1, cast(greatest(0, case when $2 < 0 then size($1) + $2 else $2 end) + 1 as int), cast(greatest(0, least(size($1) - 1, case when $3 < 0 then size($1) + $3 else $3 end) - greatest(0, case when $2 < 0 then size($1) + $2 else $2 end) + 1) as int))
-ARRAY_SUM: aggregate(filter($1, __e -> __e is not null), cast(0 as double), (__a, __e) -> __a + __e)
+ARRAY_SUM: aggregate(filter($1, __e -> __e is not null), get(filter($1, __e -> __e is not null), 0) * 0L, (__a, __e) -> __a + __e)
 ARRAY_AVG: (aggregate(filter($1, __e -> __e is not null), cast(0 as double), (__a, __e) -> __a + __e) / nullif(size(filter($1, __e -> __e is not null)), 0))
 ARRAY_INCLUDES: exists($1, __e -> __e = $2)
 ARRAY_INCLUDES_ANY: exists($1, __e -> array_contains($2, __e))
@@ -188,6 +197,7 @@ MAP_DELETE/2: map_filter($1, (__k, __v) -> __k <> $2)
 RANGE/2: (case when $1 >= $2 then raise_error('a range must end after its start') else named_struct('start', $1, 'end', $2) end)
 RANGE_START: ($1).start
 RANGE_END: ($1).end
+RANGE_CONTAINS: (case when $2 is null then null else (($1).start is null or ($1).start <= $2) and (($1).end is null or $2 < ($1).end) end)
 RANGE_OVERLAPS: ((($1).start is null or ($2).end is null or ($1).start < ($2).end) and (($2).start is null or ($1).end is null or ($2).start < ($1).end))
 RANGE_INTERSECT: named_struct('start', greatest(($1).start, ($2).start), 'end', least(($1).end, ($2).end))
 -- dates and times
@@ -197,10 +207,10 @@ DATE/3: make_date(cast($1 as int), cast($2 as int), cast($3 as int))
 DATETIME/1: cast($1 as timestamp_ntz)
 DATETIME/6: make_timestamp_ntz(cast($1 as int), cast($2 as int), cast($3 as int), cast($4 as int), cast($5 as int), $6)
 TIMESTAMP/1: cast($1 as timestamp)
-DATE_FROM_UNIX_MICROS: unix_micros(cast($1 as timestamp))
-UNIX_MILLIS: unix_millis(cast($1 as timestamp))
-UNIX_SECONDS: unix_seconds(cast($1 as timestamp))
-UNIX_DATE: date_from_unix_date(cast($1 as int))
+TIMESTAMP/2: to_utc_timestamp(cast($1 as timestamp), $2)
+STRING/2: date_format(from_utc_timestamp($1, $2), 'yyyy-MM-dd HH:mm:ss')
+TIME/3: make_time(cast($1 as int), cast($2 as int), $3)
+DATE/2: cast(from_utc_timestamp($1, $2) as date)
 UNIX_MICROS: unix_micros(cast($1 as timestamp))
 UNIX_MILLIS: unix_millis(cast($1 as timestamp))
 UNIX_SECONDS: unix_seconds(cast($1 as timestamp))
@@ -215,7 +225,16 @@ FORMAT_TIMESTAMP: mr_strftime($1, cast($2 as timestamp_ntz))
 PARSE_DATE: cast(mr_strptime($1, $2) as date)
 PARSE_DATETIME: mr_strptime($1, $2)
 PARSE_TIMESTAMP: cast(mr_strptime($1, $2) as timestamp)
+-- intervals
+MAKE_INTERVAL/6: make_interval($1, $2, 0, $3, $4, $5, $6)
 -- JSON (text carrier)
+JSON_ARRAY: to_json(array($*))
+STRING_ARRAY/1: from_json($1, 'array<string>')
+INT64_ARRAY/1: from_json($1, 'array<bigint>')
+BOOL_ARRAY/1: from_json($1, 'array<boolean>')
+FLOAT64_ARRAY/1: from_json($1, 'array<double>')
+DOUBLE_ARRAY/1: from_json($1, 'array<double>')
+SAFE_TO_JSON/1: substring(to_json(named_struct('v', $1)), 6, length(to_json(named_struct('v', $1))) - 6)
 JSON_VALUE/2: (case when get_json_object($1, $2) is null or regexp_like(get_json_object($1, $2), '^\\s*[\\[{]') then null else get_json_object($1, $2) end)
 JSON_EXTRACT_SCALAR/2: (case when get_json_object($1, $2) is null or regexp_like(get_json_object($1, $2), '^\\s*[\\[{]') then null else get_json_object($1, $2) end)
 JSON_QUERY/2: to_json(variant_get(parse_json($1), $2, 'variant'))
@@ -283,6 +302,8 @@ def expand(name: str, args: list[str]) -> str | None:
     if body is None:
         return None
     body = body.replace("$null", " or ".join(f"({a}) is null" for a in args) or "false").replace("$*", ", ".join(args))
+    if "$ulp2" in body:
+        body = body.replace("$ulp2", f"{Decimal(1).scaleb(-int(args[1])):f}BD" if args[1].strip().lstrip("-").isdigit() else f"pow(10, -({args[1]}))")
     body = body.replace("$rest_strings", ", ".join(f"cast({a} as string)" for a in args[1:]))
     out, i = [], 0
     while i < len(body):

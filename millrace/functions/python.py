@@ -349,10 +349,18 @@ def _four(fn, kind):
     return F.pandas_udf(run, kind)
 
 
+def _guarded(fn):
+    """``fn`` with None where it raises; it keeps the number of arguments."""
+    n = 1 if fn.__code__.co_flags & 4 else fn.__code__.co_argcount
+    call = _safe(fn)
+    return {1: lambda a: call(a), 2: lambda a, b: call(a, b), 3: lambda a, b, c: call(a, b, c), 4: lambda a, b, c, d: call(a, b, c, d)}[n]
+
+
 def register(spark: SparkSession) -> None:
     """Register all of them with a session, once."""
     if getattr(spark, "_mr_registered", False):
         return
     for name, (fn, kind) in _SCALARS.items():
         spark.udf.register(f"mr_{name}", _udf(fn, kind))
+        spark.udf.register(f"mr_safe_{name.removeprefix('safe_')}", _udf(_guarded(fn), kind))
     spark._mr_registered = True

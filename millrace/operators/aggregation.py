@@ -48,7 +48,9 @@ def having_extreme(df: DataFrame, keys: Sequence[str], by: Column, aggs: Mapping
         cond = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
         kept = marked.join(r, cond & (F.col("__by") == F.col("__top")), "left_semi")
         out = kept.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-        return tops.select(*keys).join(out, list(keys), "left") if all(not df.schema[k].nullable for k in keys) else out
+        # A group without any value to compare aggregates no rows.
+        none = marked.where(F.lit(False)).agg(*[c.alias(n) for n, c in aggs.items()])
+        return out.unionByName(tops.where(F.col("__top").isNull()).select(*keys).crossJoin(F.broadcast(none)))
     top = tops.select("__top").scalar()
     return marked.where(F.col("__by") == top).agg(*[c.alias(n) for n, c in aggs.items()])
 

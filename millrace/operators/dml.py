@@ -45,6 +45,9 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
 
 def merge(table: DataFrame, source: DataFrame, key: Sequence[str], *, matched: Mapping[str, Column] | None = None, delete_when: Column | None = None, not_matched: bool = True, not_by_source_delete: bool = False) -> DataFrame:
     """MERGE on a key: update or delete what matches, insert what doesn't; expressions see t.* and s.*."""
+    twice = source.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*key)
+    if not table.select(*key).join(twice, list(key), "left_semi").isEmpty():
+        raise ValueError("a row of the table is matched by several rows of the source")
     t, s = table.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
     cond = reduce(Column.__and__, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in key])
     met = t.join(s, cond, "full")

@@ -73,7 +73,11 @@ class Graph:
         out = paths if hop.low == 0 else None
         k, top = 0, hop.high if hop.high is not None else most
         best = None
-        while k < top:
+        while True:
+            if k >= top:
+                if hop.high is None:
+                    raise RuntimeError(f"paths haven't ended after {most} hops; name a mode, a search or a bound")
+                break
             k += 1
             met = paths.join(steps, F.col("end") == F.col("__from"))
             if mode == "TRAIL":
@@ -96,6 +100,13 @@ class Graph:
                         better = F.col("__c") > F.col("cost") if search == "CHEAPEST" else F.lit(False)
                         paths = paths.join(old, (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e")), "left")
                         paths = paths.where(F.col("__s").isNull() | better).drop("__s", "__e", "__c")
+                if search == "ALL SHORTEST":  # go on only to ends that no shorter path has reached
+                    if best is not None:
+                        old = best.select(F.col("start").alias("__s"), F.col("end").alias("__e"))
+                        paths = paths.join(old, (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e")), "left_anti")
+                    paths = paths.checkpoint()
+                    ends = paths.select("start", "end").distinct()
+                    best = (ends if best is None else best.unionByName(ends)).checkpoint()
                 paths = paths.checkpoint()
                 if paths.isEmpty():
                     break

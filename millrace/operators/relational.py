@@ -135,7 +135,9 @@ def recursive_union(seed: DataFrame, step, *, distinct: bool = True, depth: str
     """
     spark = seed.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/millrace")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/millrace")
     new = (seed.distinct() if distinct else seed).checkpoint()
     total, k = new.withColumn("__depth", F.lit(0).cast("long")), 0
     while not new.isEmpty():

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import function_queries
 from .operators import aggregation as agg
 from .operators import dml, graph, match, relational, timeseries, vectors
 from .plans import dialect
@@ -122,7 +123,7 @@ text(
     "tpch_q22_shape",
     """SELECT c_nationkey, COUNT(*) AS numcust, ROUND(SUM(c_acctbal), 2) AS totacctbal FROM customer
 WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer WHERE c_acctbal > 0)
-AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_nationkey""",
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY c_nationkey""",
 )
 
 # --- projection, filters, subqueries --------------------------------------------
@@ -133,7 +134,7 @@ text("where_in_between_like", "SELECT p_partkey FROM part WHERE p_size IN (1, 5,
 text("like_any", "SELECT p_partkey FROM part WHERE p_type LIKE ANY ('%BRASS', 'PROMO%')", "SELECT p_partkey FROM part WHERE p_type LIKE '%BRASS' OR p_type LIKE 'PROMO%'")
 text("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.5 * AVG(o_totalprice) FROM orders)")
 text("correlated_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
-text("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+text("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 text("is_distinct_from", "SELECT COUNTIF(l_returnflag IS DISTINCT FROM l_linestatus) AS n FROM lineitem", "SELECT COUNT(*) FILTER (l_returnflag IS DISTINCT FROM l_linestatus) AS n FROM lineitem")
 text("in_unnest", "SELECT n_name FROM nation WHERE n_regionkey IN UNNEST([1, 3])", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 3)")
 text("array_subquery", "SELECT ARRAY_LENGTH(ARRAY(SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) AS n", "SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = 1")
@@ -262,7 +263,19 @@ text("pipe_join_distinct", "FROM orders |> JOIN customer ON o_custkey = c_custke
 text("pipe_union_many", "FROM region |> SELECT r_regionkey AS k |> UNION ALL (SELECT n_nationkey FROM nation), (SELECT s_suppkey FROM supplier)", "SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation UNION ALL SELECT s_suppkey FROM supplier")
 text("pipe_window_assert", "FROM orders |> WINDOW SUM(o_totalprice) OVER (PARTITION BY o_custkey) AS total |> ASSERT total >= o_totalprice - 0.01, 'total too small' |> SELECT o_orderkey, ROUND(total, 2) AS total", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders")
 text("pipe_group_and_order", "FROM customer |> AGGREGATE COUNT(*) AS n GROUP AND ORDER BY c_mktsegment DESC |> LIMIT 3", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 ORDER BY 1 DESC LIMIT 3")
-text("pipe_if", "FROM region |> IF 1 = 1 THEN (WHERE r_regionkey > 1) ELSE (WHERE r_regionkey > 3)", "SELECT * FROM region WHERE r_regionkey > 1")
+text("pipe_if", "FROM region |> IF 0 = 1 THEN (WHERE r_regionkey > 1) ELSEIF false THEN (WHERE r_regionkey > 2) ELSE (|> WHERE r_regionkey > 3 |> EXTEND 1 AS x)", "SELECT *, 1 AS x FROM region WHERE r_regionkey > 3")
+text("pipe_with_tee", "FROM nation |> WITH big AS (SELECT r_regionkey FROM region WHERE r_regionkey > 2) |> JOIN big ON n_regionkey = r_regionkey |> TEE (WHERE n_nationkey = 0) |> SELECT n_name, n_regionkey", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey > 2")
+text("unnest_multiway", "SELECT n_nationkey, a, b, o FROM nation, UNNEST([n_nationkey, 2, 3] AS a, [n_name] AS b) WITH OFFSET AS o", "SELECT n_nationkey, unnest([n_nationkey, 2, 3]) AS a, unnest([n_name, NULL, NULL]) AS b, CAST(unnest([0, 1, 2]) AS INTEGER) AS o FROM nation")
+text("unnest_truncate", "SELECT n_nationkey, a, b FROM nation, UNNEST([n_nationkey, 2, 3] AS a, [n_name] AS b, mode => 'TRUNCATE')", "SELECT n_nationkey, n_nationkey AS a, n_name AS b FROM nation")
+text("like_any_array", "SELECT n_name FROM nation WHERE n_name LIKE ANY UNNEST(['%1', '%_2%'])", "SELECT n_name FROM nation WHERE n_name LIKE '%1' OR n_name LIKE '%_2%'")
+text("with_expression", "SELECT n_nationkey, WITH(a AS n_nationkey + 1, b AS a * a, b - a) AS x FROM nation", "SELECT n_nationkey, (n_nationkey + 1) * (n_nationkey + 1) - (n_nationkey + 1) AS x FROM nation")
+text("union_by_name_text", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL BY NAME SELECT r_name AS name, r_regionkey AS k FROM region", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+text("full_union_by_name_text", "SELECT n_nationkey AS k, n_name AS a FROM nation FULL UNION ALL BY NAME SELECT r_name AS b, r_regionkey AS k FROM region", "SELECT n_nationkey AS k, n_name AS a, NULL AS b FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
+text("except_corresponding", "SELECT n_regionkey AS k, n_name AS a FROM nation EXCEPT DISTINCT CORRESPONDING SELECT r_regionkey AS k, r_name AS b FROM region WHERE r_regionkey > 1", "SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey > 1")
+text("recursive_union_distinct_text", "WITH RECURSIVE r AS (SELECT 0 AS n UNION DISTINCT SELECT (n * 3 + 1) % 50 FROM r) WITH DEPTH AS d SELECT n, d FROM r", "WITH RECURSIVE r AS (SELECT 0 AS n, CAST(0 AS BIGINT) AS d UNION SELECT (n * 3 + 1) % 50, d + 1 FROM r WHERE d < 60) SELECT n, MIN(d) AS d FROM r GROUP BY n")
+text("window_first_last", "SELECT o_orderkey, IS_FIRST(2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f, IS_LAST(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l FROM orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2 AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 1 AS l FROM orders")
+text("window_percentiles", "SELECT c_custkey, ROUND(PERCENTILE_CONT(c_acctbal, 0.25) OVER (PARTITION BY c_nationkey), 6) AS c, PERCENTILE_DISC(c_acctbal, 0.5) OVER (PARTITION BY c_nationkey) AS d FROM customer", "SELECT c_custkey, ROUND(quantile_cont(c_acctbal, 0.25) OVER (PARTITION BY c_nationkey), 6) AS c, quantile_disc(c_acctbal, 0.5) OVER (PARTITION BY c_nationkey) AS d FROM customer")
+text("window_distinct_aggregates", "SELECT o_orderkey, COUNT(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS c FROM orders", "SELECT o_orderkey, COUNT(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS c FROM orders")
 
 # --- functions ----------------------------------------------------------------------
 
@@ -271,14 +284,44 @@ text("regexp_functions", "SELECT c_custkey, REGEXP_EXTRACT(c_name, r'([0-9]+)')
 text("math_functions", "SELECT o_orderkey, TRUNC(o_totalprice / 1000) AS t, CEIL(o_totalprice / 1000) AS c, ROUND(LN(o_totalprice), 9) AS l, ROUND(POW(o_totalprice, 0.5), 6) AS p, MOD(o_orderkey, 7) AS m, DIV(o_orderkey, 7) AS d, SIGN(o_totalprice - 100000) AS s FROM orders", "SELECT o_orderkey, trunc(o_totalprice / 1000) AS t, ceil(o_totalprice / 1000) AS c, ROUND(ln(o_totalprice), 9) AS l, ROUND(pow(o_totalprice, 0.5), 6) AS p, o_orderkey % 7 AS m, o_orderkey // 7 AS d, CAST(sign(o_totalprice - 100000) AS DOUBLE) AS s FROM orders")
 text("date_functions", "SELECT o_orderkey, DATE_TRUNC(DATE(o_orderdate), MONTH) AS m, DATE_DIFF(DATE '1999-01-01', DATE(o_orderdate), MONTH) AS dm, DATE_ADD(DATE(o_orderdate), INTERVAL 10 DAY) AS a, LAST_DAY(DATE(o_orderdate)) AS l, FORMAT_DATE('%Y-%m', DATE(o_orderdate)) AS f, EXTRACT(DAYOFWEEK FROM o_orderdate) AS dw FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, date_diff('month', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS dm, CAST(o_orderdate AS DATE) + 10 AS a, last_day(o_orderdate) AS l, strftime(o_orderdate, '%Y-%m') AS f, dayofweek(o_orderdate) + 1 AS dw FROM orders")
 text("timestamp_functions", "SELECT event_id, TIMESTAMP_TRUNC(ts, HOUR) AS h, UNIX_MICROS(ts) AS u, TIMESTAMP_DIFF(ts, TIMESTAMP '2020-01-01', MINUTE) AS d, TIMESTAMP_ADD(ts, INTERVAL 90 SECOND) AS a FROM events", "SELECT event_id, date_trunc('hour', ts) AS h, epoch_us(ts) AS u, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) / 60000000) AS BIGINT) AS d, ts + INTERVAL 90 SECOND AS a FROM events")
-text("array_functions", "SELECT n_nationkey, ARRAY_TO_STRING(ARRAY_CONCAT([n_name], [CAST(n_regionkey AS STRING)]), ':') AS c, ARRAY_LENGTH(GENERATE_ARRAY(1, n_nationkey)) AS g, ARRAY_SUM([n_nationkey, n_regionkey]) AS s, [n_nationkey, n_regionkey][OFFSET(1)] AS o FROM nation", "SELECT n_nationkey, n_name || ':' || n_regionkey AS c, CAST(n_nationkey AS BIGINT) AS g, CAST(n_nationkey + n_regionkey AS DOUBLE) AS s, n_regionkey AS o FROM nation")
+text("array_functions", "SELECT n_nationkey, ARRAY_TO_STRING(ARRAY_CONCAT([n_name], [CAST(n_regionkey AS STRING)]), ':') AS c, ARRAY_LENGTH(GENERATE_ARRAY(1, n_nationkey)) AS g, ARRAY_SUM([n_nationkey, n_regionkey]) AS s, [n_nationkey, n_regionkey][OFFSET(1)] AS o FROM nation", "SELECT n_nationkey, n_name || ':' || n_regionkey AS c, CAST(n_nationkey AS BIGINT) AS g, CAST(n_nationkey + n_regionkey AS BIGINT) AS s, n_regionkey AS o FROM nation")
 text("json_functions", "SELECT event_id, JSON_VALUE(props, '$.k') AS k, JSON_VALUE(props, '$.page') AS p FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS p FROM events")
 text("hash_functions", "SELECT n_nationkey, TO_HEX(MD5(n_name)) AS m, TO_HEX(SHA256(n_name)) AS s FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s FROM nation")
 text("conditional_functions", "SELECT c_custkey, IF(c_acctbal > 0, 'pos', 'neg') AS i, NULLIF(c_mktsegment, 'BUILDING') AS n, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), 'none') AS c, GREATEST(c_acctbal, 100) AS g FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS i, NULLIF(c_mktsegment, 'BUILDING') AS n, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), 'none') AS c, GREATEST(c_acctbal, 100) AS g FROM customer")
 
+for _name, _query, _sql in function_queries.queries():
+    text(_name, _query, _sql)
+
 # --- time windows, ranges, buckets ------------------------------------------------------
 
 
+def script(name: str, statements: str, sql: str) -> None:
+    """Register a script whose last statement is the result."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        io.load(spark, sf_dir)
+        return dialect.script(spark, statements)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+script(
+    "dml_text",
+    """CREATE OR REPLACE TEMP TABLE dml_text_nation AS SELECT n_nationkey AS k, n_name AS v, n_regionkey AS r FROM nation;
+INSERT INTO dml_text_nation (k, v) SELECT r_regionkey + 100, r_name FROM region; INSERT dml_text_nation VALUES (200, 'last', 9);
+UPDATE dml_text_nation SET v = CONCAT(v, '!'), r = r + 1 WHERE k > 20; DELETE FROM dml_text_nation WHERE r = 2; SELECT * FROM dml_text_nation""",
+    """WITH a AS (SELECT n_nationkey AS k, n_name AS v, n_regionkey AS r FROM nation UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region UNION ALL SELECT 200, 'last', 9),
+b AS (SELECT k, CASE WHEN k > 20 THEN v || '!' ELSE v END AS v, CASE WHEN k > 20 THEN r + 1 ELSE r END AS r FROM a) SELECT * FROM b WHERE r <> 2 OR r IS NULL""",
+)
+script(
+    "dml_insert_modes_text",
+    """CREATE TABLE dml_modes (k INT64, v STRING, PRIMARY KEY (k)); INSERT INTO dml_modes (k, v) SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 4;
+INSERT OR REPLACE INTO dml_modes (k, v) SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1; INSERT OR IGNORE INTO dml_modes (k, v) VALUES (0, 'no'), (77, 'yes'); FROM dml_modes""",
+    """SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_nationkey < 2 UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1 UNION ALL SELECT 77, 'yes'""",
+)
+
+
 @frame("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, COUNT(*) AS n, ROUND(SUM(value), 4) AS s FROM events GROUP BY 1, 2")
 def tumble(t):
     """Hourly counts by type."""

@@ -251,3 +251,59 @@ def test_streaming(spark, tmp_path):
         q.stop()
     want = events.groupBy(F.window("ts", "1 hour").start.alias("s"), "event_type").count()
     assert rows(spark.sql("SELECT window_start, event_type, n FROM w1")) == rows(want)
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("SELECT x FROM UNNEST([1, 2, 3]) AS x |> IF 1 = 2 THEN (WHERE x > 1) ELSE (WHERE x > 2)", [(3,)]),
+        ("SELECT x FROM UNNEST([1, 2, 3]) AS x |> IF false THEN (WHERE x > 1) ELSEIF TRUE THEN (|> WHERE x > 2 |> EXTEND x + 1 AS y) ELSE (WHERE x = 1)", [(3, 4)]),
+        ("SELECT x FROM UNNEST([1, 2]) AS x |> IF NULL THEN (WHERE x > 1)", [(1,), (2,)]),
+        ("SELECT a, b FROM UNNEST([1, 2] AS a, [3] AS b)", [(1, 3), (2, None)]),
+        ("SELECT a, b, o FROM UNNEST([1, 2] AS a, [3] AS b, mode => 'TRUNCATE') WITH OFFSET AS o", [(1, 3, 0)]),
+        ("SELECT id, a, b FROM (SELECT 7 AS id), UNNEST([1, 2] AS a, ['x', 'y'] AS b, mode => 'STRICT')", [(7, 1, "x"), (7, 2, "y")]),
+        ("SELECT a FROM UNNEST(CAST(NULL AS ARRAY<INT64>) AS a, [5] AS b)", [(None,)]),
+        ("SELECT TRUNC(NUMERIC '1234567890123456789.123456789', 2) = NUMERIC '1234567890123456789.12', CEIL(NUMERIC '-0.5') = 0, FLOOR(-1.2), TRUNC(IEEE_DIVIDE(1, 0))", [(True, True, -2, float("inf"))]),
+        ("SELECT SAFE.PARSE_DATE('%Y', 'x'), SAFE.CHR(-1), SAFE.LOG10(-1), SAFE.REPEAT('a', -1), SAFE.ACOS(2), SAFE.DATE(2024, 13, 1)", [(None,) * 6]),
+        ("SELECT 1 AS a, 2 AS b UNION ALL CORRESPONDING SELECT 3 AS c, 4 AS a", [(1,), (4,)]),
+        ("SELECT 1 AS a, 2 AS b LEFT UNION ALL BY NAME SELECT 3 AS c, 4 AS a", [(1, 2), (4, None)]),
+        ("SELECT DISTINCT PERCENTILE_CONT(x, 0.5) OVER (), PERCENTILE_DISC(x, 0.5) OVER (), SUM(DISTINCT x) OVER () FROM UNNEST([3, 1, 2, 2]) AS x", [(2.0, 2, 6)]),
+        ("SELECT window_start, k FROM TUMBLE(TABLE (SELECT TIMESTAMP '2024-01-01 00:07:00' AS ts, 1 AS k, 'old' AS window_start), 'ts', INTERVAL 5 MINUTE)", [(datetime.datetime(2024, 1, 1, 0, 5), 1)]),
+    ],
+)
+def test_dialect_forms(spark, query, want):
+    assert rows(dialect.run(spark, query)) == want
+
+
+@pytest.mark.parametrize(
+    "query",
+    ["SELECT a FROM UNNEST([1, 2] AS a, [3] AS b, mode => 'STRICT')", "SELECT 1 AS a UNION ALL BY NAME SELECT 2 AS b", "SELECT 1 AS x |> IF true (WHERE x = 1)", "SELECT 1 AS x |> IF false THEN (WHERE x = 1) ELSE WHERE x = 2"],
+)
+def test_dialect_form_errors(spark, query):
+    with pytest.raises(Exception):  # noqa: B017
+        dialect.run(spark, query).collect()
+
+
+def test_table_changes_as_text(spark):
+    dialect.script(spark, "CREATE TABLE tchange (k INT64, v STRING, PRIMARY KEY (k)); INSERT INTO tchange (k, v) VALUES (1, 'a'), (2, 'b')")
+    with pytest.raises(ValueError):
+        dialect.run(spark, "INSERT INTO tchange VALUES (2, 'x')")
+    with pytest.raises(ValueError):
+        dialect.run(spark, "DELETE FROM tchange")
+    out = dialect.script(spark, "UPDATE tchange AS c SET v = CONCAT(c.v, '!') WHERE c.k = 2; DELETE tchange WHERE k = 1; INSERT OR UPDATE INTO tchange (k, v) VALUES (2, 'n'), (3, 'm'); SELECT * FROM tchange")
+    assert rows(out) == [(2, "n"), (3, "m")]
+    assert dialect.run(spark, "TRUNCATE TABLE tchange").count() == 0
+
+
+def test_merge_with_several_matches(spark):
+    t, s = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(ValueError):
+        dml.merge(t, s, ["k"], matched={"v": F.col("s.v")})
+    twice = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, v string")
+    assert rows(dml.merge(t, twice, ["k"], matched={"v": F.col("s.v")})) == [(1, "x"), (2, "y"), (2, "z")]
+
+
+def test_having_extreme_keeps_groups_without_values(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", None, 1)], "k string, y int, v int")
+    got = rows(aggregation.having_extreme(df, ["k"], F.col("y"), {"n": F.count("v"), "s": F.sum("v")}))
+    assert got == [("a", 1, 7), ("b", 0, None)]
