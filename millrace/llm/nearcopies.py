@@ -3,7 +3,8 @@
 Operator 4 for texts that are alike in four fifths of their shingles. Two
 documents link when the sets of their ``shingle``-word runs have a Jaccard
 similarity of ``least`` or more; documents reachable from each other form a
-component. A component is represented by its smallest ``doc_id``.
+component. A component is represented by its smallest ``doc_id``, and of rows
+that share it by the text with the least hash.
 
 * Equal sets are one node, so hot groups of exact copies shrink to one row.
 * Each node has the 64-bit SimHash of its set. At a similarity of 0.8 about 10
@@ -88,6 +89,11 @@ def bands(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def mark(text: bytes | None) -> int:
+    """What tells texts of one id apart: Spark's xxhash64 of the text."""
+    return 42 if text is None else int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
+
+
 def profile(h: np.ndarray) -> np.ndarray:
     """How many hashes fall into each range."""
     return np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.uint32)
@@ -102,13 +108,14 @@ def _sets(batches: Iterable[pa.RecordBatch], shingle: int, what: str) -> Iterato
             nodes = pa.array([name(h) for h in found], pa.int64())
             sizes = pa.array([len(h) for h in found], pa.int32())
             prints = pa.array(np.array([majority(h) if what == "bands" and len(h) else 0 for h in found], np.uint64).view(np.int64))
+            marks = pa.array([mark(t) for t in part["text"].to_pylist()], pa.int64())
             if what == "bands":
                 last = pa.array([bands(h).tolist() if len(h) else [] for h in found], pa.list_(pa.int64()))
             elif what == "profile":
                 last = pa.array([profile(h).tobytes() for h in found], pa.binary())
             else:
                 last = pa.array([h.tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["doc_id"], nodes, sizes, prints, last], names=["doc_id", "node", "size", "fp", what])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], marks, nodes, sizes, prints, last], names=["doc_id", "mark", "node", "size", "fp", what])
 
 
 def _proposed(
@@ -205,7 +212,7 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, shingle: int =
         need = nodes.join(need.hint("shuffle_hash"), "node").select("node", F.col("least_id").alias("doc_id"))
         # An id may stand for several texts: the set's own name tells which one is meant.
         found = texts.join(need.select("doc_id").distinct().hint("shuffle_hash"), "doc_id")
-        found = found.mapInArrow(partial(_sets, shingle=shingle, what=what), f"doc_id long, node long, size int, fp long, {what} binary")
+        found = found.mapInArrow(partial(_sets, shingle=shingle, what=what), f"doc_id long, mark long, node long, size int, fp long, {what} binary")
         found = found.join(need.hint("shuffle_hash"), ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
         return materialize(found.select("node", what), what)
 
@@ -240,15 +247,21 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, shingle: int =
 
 
 def representatives(docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The smallest doc_id (``rep``) of each component."""
+    """The smallest doc_id of each component (``rep``), and the mark of the text it stands for."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
-    signed = materialize(rows.mapInArrow(partial(_sets, shingle=shingle, what="bands"), "doc_id long, node long, size int, fp long, bands array<long>"), "signed")
+    signed = rows.mapInArrow(partial(_sets, shingle=shingle, what="bands"), "doc_id long, mark long, node long, size int, fp long, bands array<long>")
+    signed = materialize(signed, "signed")
     # Equal sets have equal bands: aggregated map-side, so a group of copies sends a row a task.
-    own = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    nodes = own.select("node", "least_id")
+    own = signed.groupBy("node").agg(
+        F.min(F.struct("doc_id", "mark")).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
+    )
+    own = materialize(own, "nodes")
+    nodes = own.select("node", "first", F.col("first.doc_id").alias("least_id"))
     buckets = materialize(own.select(F.explode("bands").alias("bucket"), "node", "size", "fp"), "buckets")
-    known = links(docs, nodes, buckets, shingle, least)
+    known = links(docs, nodes.drop("first"), buckets, shingle, least)
     if known is None:
-        return nodes.select(F.col("least_id").alias("rep")).distinct()
-    named = nodes.join(known.hint("shuffle_hash"), "node", "left").select(F.coalesce("root", "node").alias("root"), "least_id")
-    return named.groupBy("root").agg(F.min("least_id").alias("rep")).select("rep").distinct()
+        firsts = nodes.select("first")
+    else:
+        named = nodes.join(known.hint("shuffle_hash"), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+        firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    return firsts.select(F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark")).distinct()

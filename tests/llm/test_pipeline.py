@@ -46,10 +46,18 @@ def test_empty_and_awkward_rows(spark):
     one = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
     odd = one.unionByName(one).unionByName(one.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(one.limit(1).withColumn("text", F.lit(None).cast("string")))
     kept = corpus_pipeline.near_duplicates(spark, odd.withColumn("fp", F.lit(1)).withColumn("n", F.lit(2)), SF)
-    assert kept.where("doc_id is not null").count() == kept.select("doc_id").where("doc_id is not null").distinct().count()
+    assert kept.where("doc_id is not null").count() == kept.select("doc_id", "text").where("doc_id is not null").distinct().count()
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "w"), (2, a, "z"), (3, b + " more", "v"), (None, a, "u")]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, mark string").repartition(3), SF)
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, a, "x"), (1, b, "w"), (None, a, "u")]))
+
+
 def test_one_planted_item_is_enough(spark):
     items = [r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").orderBy("item_id").collect()]
     clean = "nothing in this text was ever part of a test set"
