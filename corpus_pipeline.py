@@ -4,6 +4,11 @@ Each stage is a function of (session, documents, folder of the other tables)
 and works on all that the stage before it kept; its result is written as
 Parquet and read again. The first four return the columns of ``documents``,
 the last the packed pieces.
+
+Cases, beside those of the operators: null, empty and very long texts, null and
+repeated ids, repeated rows and extra columns of any name go through every
+stage but those that the quality rules reject (a null or empty text is one);
+an empty table gives no rows, stage by stage.
 """
 
 from __future__ import annotations
@@ -25,15 +30,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component, the one with the smallest id.
 
-    Documents link at a Jaccard similarity of 0.8 or more over runs of five
-    words. A row without an id links nothing and stays; of rows that repeat
-    the smallest id one stays.
+    Operator 4, SimHash by bit-sliced comparison, for texts of five-word
+    shingles with a Jaccard similarity of 0.8 or more. A row without an id
+    links nothing and stays; of rows that repeat the smallest id each text is
+    judged by itself, and of identical ones the least row stays, so the result
+    is the same on every run.
     """
     keep = materialize(nearcopies.representatives(docs, shingle=5, least=0.8), "keep")
+    keep = keep.withColumnsRenamed({"rep": "__rep", "mark": "__mark"})
+    found = (F.col("doc_id") == F.col("__rep")) & (F.xxhash64("text") == F.col("__mark"))
     # Shuffled at every size: what is kept grows with the input.
-    kept = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(keep.hint("shuffle_hash"), found)
+    twice = kept.groupBy("__rep", "__mark").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1)
+    if twice.count():
+        kept = kept.groupBy("__rep", "__mark").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
