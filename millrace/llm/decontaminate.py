@@ -33,43 +33,84 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialize, window_hashes
+from .common import discard, lookup, materialize, mix64, window_hashes
 
-#: Word bytes as the contract fixes them: 0-9, a-z (after lower-casing A-Z) and all beyond ASCII.
-_SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
-_BLANKED = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-#: As a pattern, before lower-casing.
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Word bytes as the contract fixes them: 0-9, a-z (after lower-casing A-Z) and all beyond ASCII; others are blanks.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Bits of the bitmaps that are broadcast.
 BITS = 1 << 22
+#: Bytes of hits up to which they are broadcast to the documents.
+BROADCAST_BYTES = 64 << 20
 _SPAN = "array<struct<first:bigint,last:bigint>>"
+#: Bytes whose words are hashed at once, and the odd base of the polynomial.
+_BLOCK, _BASE = 1 << 14, 0x9E3779B97F4A7C15
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words of a UTF-8 text."""
-    return text.lower().translate(_BLANKED).split() if text else []
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen of late."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 11)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    """A hash of each word."""
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return text.translate(_FOLD).split() if text else []
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = (_powers(b, _BLOCK) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+class Words:
+    """The words of a batch of texts: their hashes, and where those of each text begin (and the last end)."""
+
+    def __init__(self, texts: pa.Array, hashed: bool = True) -> None:
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = data[int(at[0]) : int(at[-1])].to_pybytes() if data else b""
+        at = at - at[0]
+        self.folded = np.frombuffer(raw.translate(_FOLD), np.uint8)
+        letter = self.folded != 32
+        begins, finish = letter.copy(), letter.copy()
+        begins[1:] &= ~letter[:-1]
+        finish[:-1] &= ~letter[1:]
+        inner = at[(at > 0) & (at < len(raw))]  # a text's end ends a word
+        begins[inner] |= letter[inner]
+        finish[inner - 1] |= letter[inner - 1]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
+        self.first = np.searchsorted(self.starts, at)
+        self.hashes = self._hashed() if hashed else None
+
+    def _hashed(self) -> np.ndarray:
+        """A polynomial of each word's bytes, from running sums over blocks of whole words, mixed."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            begin = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, begin + _BLOCK, "right")))
+            n = int(self.ends[j - 1]) - begin
+            up, down = (_UP, _DOWN) if n <= _BLOCK else (_powers(b, n) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.folded[begin : begin + n] * up[:n], out=sums[1:])
+            a, b = self.starts[i:j] - begin, self.ends[i:j] - begin
+            out[i:j] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+            i = j
+        return out
+
+    def shingles(self, n: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, text and hash of each run of ``n`` words in one text, whose bit is set if ``bits`` are given."""
+        h = window_hashes(self.hashes, n)
+        at = np.arange(len(h)) if bits is None else _held(bits, h)
+        text = np.searchsorted(self.first, at, "right") - 1
+        whole = at + n <= self.first[text + 1]
+        at, text = at[whole], text[whole]
+        return at, text, h[at]
+
+    def around(self, low: int, high: int) -> bytes:
+        """The words from one place to another, with a blank between."""
+        return b" ".join(self.folded[self.starts[low] : self.ends[high - 1]].tobytes().split())
 
 
 def _windows(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -94,19 +135,16 @@ def windows(benchmark: DataFrame, size: int = 8) -> DataFrame:
 def _tokens(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Each shingle of each window, with its place."""
     for rb in batches:
-        at, tokens, places, widths = [], [], [], []
-        for k, window in enumerate(rb["window"].to_pylist()):
-            w = window.split(b" ")
-            h = window_hashes(hashes_of(w), min(shingle, len(w)))
-            at += [k] * len(h)
-            tokens.append(h)
-            places += range(len(h))
-            widths += [min(shingle, len(w))] * len(h)
-        flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [rb["window"].take(pa.array(at, pa.int64())), pa.array(flat), pa.array(places, pa.int32()), pa.array(widths, pa.int32())],
-            names=["window", "token", "place", "width"],
-        )
+        words = Words(rb["window"])
+        n = np.diff(words.first)
+        for width in np.unique(np.minimum(n, shingle)).tolist():
+            at, text, h = words.shingles(width)
+            mine = np.minimum(n[text], shingle) == width
+            at, text, h = at[mine], text[mine], h[mine]
+            yield pa.RecordBatch.from_arrays(
+                [rb["window"].take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((at - words.first[text]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32))],
+                names=["window", "token", "place", "width"],
+            )
 
 
 def bitmap(tokens: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -130,12 +168,9 @@ def _counts(batches: Iterable[pa.RecordBatch], known, widths: list[int]) -> Iter
     some: list[np.ndarray] = []
     for rb in batches:
         for at in range(0, rb.num_rows, 256):
-            for text in rb["text"].slice(at, 256).to_pylist():
-                h = hashes_of(words_of(text))
-                for n in widths:
-                    s = window_hashes(h, n)
-                    some.append(s[_held(known.value, s)])
-        if len(some) > 4096 and sum(map(len, some)) > 1 << 18:
+            words = Words(rb["text"].slice(at, 256))
+            some += [words.shingles(n, known.value)[2] for n in widths]
+        if sum(map(len, some)) > 1 << 18:
             yield _counted(some)
             some = []
     yield _counted(some)
@@ -155,14 +190,14 @@ def _places(batches: Iterable[pa.RecordBatch], prefixes, widths: list[int], size
         for begin in range(0, rb.num_rows, 256):
             part = rb.slice(begin, 256)
             out: list[tuple] = []
-            for doc, mark, text in zip(*(part[c].to_pylist() for c in ("id", "mark", "text")), strict=True):
-                w = words_of(text)
-                h = hashes_of(w)
-                for n in widths:
-                    s = window_hashes(h, n)
-                    for i in _held(prefixes.value, s).tolist():
-                        low = max(0, i - size + n)
-                        out.append((doc, mark, int(s[i].view(np.int64)), i, len(w), i - low, b" ".join(w[low : i + size])))
+            words = Words(part["text"])
+            ids, marks = part["id"].to_pylist(), part["mark"].to_pylist()
+            for n in widths:
+                for i, k, h in zip(*(x.tolist() for x in words.shingles(n, prefixes.value)), strict=True):
+                    first, last = int(words.first[k]), int(words.first[k + 1])
+                    low = max(first, i - size + n)
+                    h = h - (1 << 64) if h >> 63 else h
+                    out.append((ids[k], marks[k], h, i - first, last - first, i - low, words.around(low, min(last, i + size))))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -208,15 +243,23 @@ def found(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, shingle: int
     return held
 
 
+def _n_words(texts: pa.Array) -> pa.Array:
+    """How many words each text has."""
+    parts = [np.diff(Words(texts.slice(at, 256), hashed=False).first) for at in range(0, len(texts), 256)]
+    return pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+
+
 def add_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, shingle: int = 5, hits: str = "hits") -> DataFrame:
     """``docs`` with a column ``hits``: n_words, spans of hit words (sorted; they may overlap), items found."""
     held = found(docs, benchmark, size=size, shingle=shingle)
     held = held.select(F.col("id").alias("__d_id"), F.col("mark").alias("__d_mark"), F.col("spans").alias("__d_spans"), F.col("items").alias("__d_items"))
+    # Few documents hold an item: their hits are broadcast while they are small, and else joined in a shuffle.
+    weight = held.agg(F.sum(64 + 16 * F.size("__d_spans") + 8 * F.size("__d_items"))).first()[0] or 0
+    held = F.broadcast(held) if weight <= BROADCAST_BYTES else held.hint("shuffle_hash")
     keys = _identity(docs)
-    # Few documents hold an item: Spark broadcasts the hits when they are small, by their files' size.
     met = docs.withColumn("__d_id", keys["id"]).withColumn("__d_mark", keys["mark"]).join(held, ["__d_id", "__d_mark"], "left")
     one = F.struct(
-        F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.arrow_udf(_n_words, "bigint")(F.col("text").cast("binary")).alias("n_words"),
         F.coalesce("__d_spans", F.array().cast(_SPAN)).alias("spans"),
         F.coalesce("__d_items", F.array().cast("array<bigint>")).alias("items"),
     )
