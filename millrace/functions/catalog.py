@@ -134,7 +134,7 @@ COUNTIF: count_if($1)
 LOGICAL_AND: bool_and($1)
 LOGICAL_OR: bool_or($1)
 ARRAY_CONCAT_AGG: flatten(collect_list($1))
-APPROX_QUANTILES: percentile_approx($1, transform(sequence(0, $2), __i -> __i / double($2)))
+APPROX_QUANTILES: percentile_approx($1, $fractions2)
 APPROX_TOP_COUNT: transform(approx_top_k($1, $2), __t -> named_struct('value', __t.item, 'count', __t.count))
 HLL_COUNT.INIT: hll_sketch_agg($1)
 HLL_COUNT.MERGE: hll_sketch_estimate(hll_union_agg($1))
@@ -302,6 +302,10 @@ def expand(name: str, args: list[str]) -> str | None:
     if body is None:
         return None
     body = body.replace("$null", " or ".join(f"({a}) is null" for a in args) or "false").replace("$*", ", ".join(args))
+    if "$fractions2" in body:
+        if not args[1].strip().isdigit():
+            raise ValueError(f"{name} needs a constant number of quantiles")
+        body = body.replace("$fractions2", f"array({', '.join(f'{i / int(args[1])}D' for i in range(int(args[1]) + 1))})")
     if "$ulp2" in body:
         body = body.replace("$ulp2", f"{Decimal(1).scaleb(-int(args[1])):f}BD" if args[1].strip().lstrip("-").isdigit() else f"pow(10, -({args[1]}))")
     body = body.replace("$rest_strings", ", ".join(f"cast({a} as string)" for a in args[1:]))

@@ -92,16 +92,19 @@ def private_sums(
     epsilon: float,
     delta: float,
     groups_per_unit: int = 1,
-    seed: int = 0,
+    seed: int | None = None,
 ) -> DataFrame:
     """Differentially private COUNT and SUM by group.
 
     Each unit adds one clamped sum to at most ``groups_per_unit`` groups picked
     at random; groups whose noisy number of units is under the threshold that
-    ``delta`` asks for are withheld.
+    ``delta`` asks for are withheld. Without a ``seed``, as it should be outside
+    of tests, the noise can't be foretold.
     """
     import math
+    import secrets
 
+    seed = secrets.randbits(60) if seed is None else seed
     own = df.groupBy(unit, *keys).agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(unit).orderBy(F.rand(seed))
     own = own.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= groups_per_unit)
