@@ -14,6 +14,9 @@ edge walked twice or more is repeated; every walk but the earliest (smaller
   the source it repeats (document, first start), and its first and last edge.
   A piece ends where its source does not go on with it, and where walks that
   share an edge go on to, or came from, different ones.
+* A slot of over ``MOST_HELD`` bytes is not compared in one task: its windows
+  are dealt again by their own hashes, so that a seed which many windows share
+  is spread.
 * A join of pieces that end where another begins gives the passages through
   nodes between them; counted, they are each node's in and out degree. Joined
   back, nodes of in and out degree one, at which the source goes on too, are
@@ -49,6 +52,10 @@ from .common import discard, lookup, materialize, pair_hash, run_starts, window_
 _ROWS = "slot int, blob binary"
 _PIECES = "doc long, sub long, first int, last int, s_doc long, s_sub long, s_first int, e_first long, e_last long"
 _LOW56 = np.uint64((1 << 56) - 1)
+#: A piece, or (slot and blob) rows of a slot that was too large, to be dealt again.
+_MET = _PIECES + ", slot int, blob binary"
+#: Bytes of a slot that a task holds to compare; the windows of a larger one are dealt again, one by one.
+MOST_HELD = 64 << 20
 #: Windows settled at once in a batch; bounds a task's memory.
 BATCH_WINDOWS = 1_500_000
 
@@ -282,19 +289,42 @@ def _compared(got: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return _pieces(np.flatnonzero(repeated), begins, doc, sub, start, src, key)
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the rows of each slot; slots come sorted, one at a time is held."""
+def _apart(blob: bytes, slots: int) -> Iterator[tuple[int, bytes]]:
+    """The rows of a slot as rows of one window each, dealt by the window's own hash."""
+    head, flat = unpack_rows(blob)
+    n = np.abs(head["n"].astype(np.int64))
+    row = np.repeat(np.arange(len(head)), n)
+    one = head[row]
+    one["start"] += (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    one["n"] = np.where(head["n"][row] < 0, -1, 1)
+    slot = pair_hash(flat, one["minimizer"].copy()) % np.uint64(slots)
+    order = np.argsort(slot, kind="stable")
+    ends = np.append(run_starts(slot[order]), len(order))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        at = order[a:b]
+        yield int(slot[at[0]]), pack_rows(one[at], flat[at])
+
+
+def _meet(batches: Iterable[pa.RecordBatch], most: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Compare the rows of each slot; slots come sorted, one at a time is held, of at most ``most`` bytes."""
+    names = [x.split()[0] for x in _MET.split(", ")]
     held: list[bytes] = []
-    slot = None
+    slot, size = None, 0
 
     def sent(pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(pieces), 1 << 16):
             part = pieces[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in _PIECE.names], names=list(_PIECE.names))
+            columns = [pa.array(np.ascontiguousarray(part[c])) for c in _PIECE.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], names=names)
+
+    def again(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for blob in blobs:
+            got = list(_apart(blob, slots))
+            none = [pa.nulls(len(got), pa.int32() if _PIECE[c].itemsize == 4 else pa.int64()) for c in _PIECE.names]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=names)
 
     for batch in batches:
-        slots = batch["slot"].to_pylist()
-        for i, s in enumerate(slots):
+        for i, s in enumerate(batch["slot"].to_pylist()):
             blob = batch["blob"][i].as_py()
             if s < 0:
                 yield from sent(np.frombuffer(blob, _PIECE))
@@ -302,8 +332,12 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != slot:
                 if held:
                     yield from sent(_compared([unpack_rows(b) for b in held]))
-                slot, held = s, []
+                slot, size, held = s, 0, []
+            size += len(blob)
             held.append(blob)
+            if size > most:  # this slot's rows are sent on, those that come yet too
+                yield from again(held)
+                held = []
     if held:
         yield from sent(_compared([unpack_rows(b) for b in held]))
 
@@ -319,8 +353,10 @@ def _sources(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sub", F.when(F.col("doc_id").isNull(), low - F.lit((1 << 63) - 1) - 1).otherwise(low))
 
 
-def repeated_pieces(sources: DataFrame, *, size: int = 20, seed: int = 8, slots: int | None = None, salt: int = 7) -> DataFrame:
-    """All walks of repeated edges, the earliest too, as pieces (see the module's text)."""
+def repeated_pieces(
+    sources: DataFrame, *, size: int = 20, seed: int = 8, slots: int | None = None, salt: int = 7, most: int | None = None
+) -> DataFrame:
+    """All walks of repeated edges, the earliest too, as pieces (see the module's text), in a table."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = slots or 16 * parts
     rows = sources.where("text is not null").select("doc", "sub", F.col("text").cast("binary").alias("text"))
@@ -328,7 +364,15 @@ def repeated_pieces(sources: DataFrame, *, size: int = 20, seed: int = 8, slots:
     # What a batch has found itself needs no partner: it is dealt out evenly.
     deal = F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.xxhash64("blob"))
     rows = rows.withColumn("deal", deal.cast("long")).repartition(parts, "deal").sortWithinPartitions("slot")
-    return rows.select("slot", "blob").mapInArrow(_meet, _PIECES)
+    meet = partial(_meet, most=most or MOST_HELD, slots=64 * parts)
+    met = materialize(rows.select("slot", "blob").mapInArrow(meet, _MET), "pieces")
+    pieces = met.where("slot is null").drop("slot", "blob")
+    if met.where("slot is not null").limit(1).isEmpty():
+        return pieces
+    # A seed that very many windows share: dealt by their own hashes, only equal ones stay together.
+    hot = met.where("slot is not null").select("slot", "blob").repartition(parts, "slot").sortWithinPartitions("slot")
+    more = materialize(hot.mapInArrow(partial(meet, most=1 << 62), _MET), "pieces").drop("slot", "blob")
+    return pieces.unionByName(more)
 
 
 def nodes_of(pieces: DataFrame) -> DataFrame:
@@ -443,10 +487,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, seed: int = 8, texts: boo
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document."""
     sources = _sources(docs)
     for salt in (7, 107, 207):
-        pieces = materialize(repeated_pieces(sources, size=size, seed=seed, salt=salt), "pieces")
+        pieces = repeated_pieces(sources, size=size, seed=seed, salt=salt)
         paths = materialize(paths_of(pieces), "paths")
         out = materialize(_home(sources, paths, size, texts), "cut")
-        discard(pieces, paths)
+        discard(paths)
         differ = out.where("kind = 1").groupBy("span").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
         if not differ.limit(1).count():
             columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts

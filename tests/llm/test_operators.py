@@ -469,7 +469,11 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_substrings_in_small_batches(spark, monkeypatch):
+@pytest.mark.parametrize("most", [None, 300])
+def test_substrings_in_small_batches(spark, monkeypatch, most):
+    """Passages mixed at random; with few bytes to hold, nearly all slots are dealt again."""
+    if most:
+        monkeypatch.setitem(substrings.repeated_pieces.__kwdefaults__, "most", most)
     r = random.Random(8)
     pool = [prose(30, k) for k in range(12)]
     rows = [(k, " ".join(r.choice(pool) if r.random() < 0.5 else prose(25, 1000 + k * 9 + j) for j in range(6))) for k in range(60)]
@@ -488,7 +492,7 @@ def test_substrings_need_the_compaction_and_the_words(spark, monkeypatch):
     texts = [passage, other + passage, passage[:50] + other[:40], ["x"] * 3 + passage + ["y"] * 3]
     texts.append([*texts[2], "z"])
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    pieces = common.materialize(substrings.repeated_pieces(substrings._sources(docs)), "test")
+    pieces = substrings.repeated_pieces(substrings._sources(docs))
     nodes = substrings.nodes_of(pieces)
     assert nodes.where("out_degree > 1").count() and nodes.where("in_degree = 1 and out_degree = 1").count()
     paths = substrings.paths_of(pieces)
