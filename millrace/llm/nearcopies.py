@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shuffle_partitions
+from .common import materialize, mix64, run_starts, shuffle_partitions
 from .simhash import close_pairs, components, majority
 
 BANDS, ROWS = 32, 5
@@ -53,6 +53,8 @@ SMALL = 16
 #: Neighbours each node of a large bucket is paired with, round by round; None is all.
 FANS = (1, 4, None)
 RANGES = 256
+#: Rows of whole buckets compared at once.
+STRETCH = 1 << 14
 #: Differing bits of 64 up to which a pair is verified.
 RADIUS = 28
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -119,16 +121,22 @@ def _sets(batches: Iterable[pa.RecordBatch], shingle: int, what: str) -> Iterato
 
 
 def _proposed(
-    node: np.ndarray, size: np.ndarray, fp: np.ndarray, comp: np.ndarray, fan: int | None, least: float, prof: np.ndarray | None = None
+    bucket: np.ndarray, node: np.ndarray, size: np.ndarray, fp: np.ndarray, comp: np.ndarray, fan: int | None, least: float, prof: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions in one bucket whose components differ and that may be as similar."""
-    n, at = len(node), np.arange(len(node))
-    by_size = np.lexsort((node, size))
-    whole = fan is None or n <= SMALL
-    for order in (by_size,) if whole else (by_size, np.argsort(mix64(node.view(np.uint64)))):
-        s = size[order]
-        room = n - 1 - at if not whole else np.searchsorted(s, s / least + 1e-9, "right") - 1 - at
-        room = room if whole else np.minimum(room, fan)
+    """Pairs of positions in one bucket whose components differ and that may be as similar; many buckets at once."""
+    rank = np.unique(bucket, return_inverse=True)[1]
+    large = np.bincount(rank)[rank] > SMALL if fan is not None else np.zeros(len(rank), bool)
+    by_size, by_hash = np.lexsort((node, size, rank)), np.lexsort((mix64(node.view(np.uint64)), rank))
+    scale = int(size.max()) + 2
+    for order in (by_size, by_hash[large[by_hash]]):
+        r, s = rank[order], size[order].astype(np.int64)
+        room = np.searchsorted(r, r, "right") - 1 - np.arange(len(r))
+        near = large[order]
+        if order is by_size:  # as far as sizes allow
+            far = np.minimum(np.floor(s / least + 1e-9).astype(np.int64), scale - 1)
+            bound = np.searchsorted(r * scale + s, r * scale + far, "right") - 1 - np.arange(len(r))
+            room = np.where(near, room, np.minimum(room, bound))
+        room = np.where(near, np.minimum(room, fan or 0), room)
         for a, b in close_pairs(fp[order].view(np.uint64), room, RADIUS):
             a, b = order[a], order[b]
             ok = (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
@@ -146,44 +154,30 @@ def _proposed(
 def _propose(batches: Iterable[pa.RecordBatch], fan: int | None, least: float) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each bucket; rows come sorted by bucket, which may cross batches."""
 
-    def bucket(node: np.ndarray, size: np.ndarray, fp: np.ndarray, comp: np.ndarray, prof: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        if (comp == comp[0]).all():
+    def settle(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, fp: np.ndarray, comp: np.ndarray, prof: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        at = run_starts(bucket)
+        many = np.repeat(np.diff(np.append(at, len(bucket))), np.diff(np.append(at, len(bucket))))
+        pick = many > 1
+        if not pick.any():
             return
         if prof is not None:
-            prof = np.frombuffer(b"".join(prof.tolist()), np.uint32).reshape(-1, RANGES)
-        for a, b in _proposed(node, size, fp, comp, fan, least, prof):
+            prof = np.frombuffer(b"".join(prof[pick].tolist()), np.uint32).reshape(-1, RANGES)
+        node, rest = node[pick], (size[pick], fp[pick], comp[pick])
+        for a, b in _proposed(bucket[pick], node, *rest, fan, least, prof):
             u, v = node[a], node[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    def pooled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for p in parts:
-            held.append(p)
-            rows += p.num_rows
-            if rows >= 1 << 15 or len(held) >= 4096:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if rows else p
-                held, rows = [], 0
-        if rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    def parts() -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for rb in batches:
-            cols = [rb[c].to_numpy(zero_copy_only=False) for c in rb.schema.names]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            ends = np.append(np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1]))), len(cols[0]))
-            for a, b in zip(ends[:-2].tolist(), ends[1:-1].tolist(), strict=True):
-                if b - a > 1:
-                    yield from bucket(*(c[a:b] for c in cols[1:]))
-            rest = [c[ends[-2] :] for c in cols]
-        if rest is not None and len(rest[0]) > 1:
-            yield from bucket(*rest[1:])
-
-    yield from pooled(parts())
+    rest: list[np.ndarray] | None = None
+    for rb in batches:
+        cols = [rb[c].to_numpy(zero_copy_only=False) for c in rb.schema.names]
+        rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if len(rest[0]) < STRETCH:
+            continue
+        start = int(run_starts(rest[0])[-1])
+        yield from settle(*(c[:start] for c in rest))
+        rest = [c[start:] for c in rest]
+    if rest is not None:
+        yield from settle(*rest)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -120,7 +120,7 @@ def test_every_pair_that_is_open_is_proposed(monkeypatch):
     comp = rng.integers(0, 5, 50)
     monkeypatch.setattr(nearcopies, "RADIUS", 63)
     fp = rng.integers(0, 1 << 62, 50)
-    got = {frozenset(p) for a, b in nearcopies._proposed(node, size, fp, comp, None, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    got = {frozenset(p) for a, b in nearcopies._proposed(node * 0, node, size, fp, comp, None, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
     want = {frozenset((i, j)) for i in range(50) for j in range(i) if comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
     assert got == want
 
@@ -132,6 +132,6 @@ def test_the_bound_keeps_every_near_pair():
     node, size = np.arange(len(sets)), np.array([len(h) for h in sets], np.int32)
     prof = np.stack([nearcopies.profile(h) for h in sets])
     fp = np.array([simhash.majority(h) for h in sets], np.uint64).view(np.int64)
-    got = {frozenset(p) for a, b in nearcopies._proposed(node, size, fp, node, None, 0.8, prof) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    got = {frozenset(p) for a, b in nearcopies._proposed(node * 0, node, size, fp, node, None, 0.8, prof) for p in zip(a.tolist(), b.tolist(), strict=True)}
     near = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if nearcopies.similarity(sets[i], sets[j]) >= 0.8}
     assert near and near <= got and len(got) < len(sets) * (len(sets) - 1) // 2
