@@ -111,6 +111,7 @@ def lookup(
 
 # --- numpy helpers for Arrow-batched operators ------------------------------
 
+#: The multipliers and shift of a published 64-bit finaliser.
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)

@@ -11,7 +11,8 @@ Document frequencies cover every row that may be learned from. The sample for
 the centroids holds at most ``sample`` rows in all, a documented parameter; it
 is picked by a hash of the row, so it is the same on every run.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; with no
+Cases: a null text, or one without a letter, is ``und`` with score 0; a text of
+any length is counted whole, into one vector; with no
 row to learn from every text is ``und``; a null ``doc_id`` is never held out
 nor learned from; a row with a null ``lang`` is only predicted; repeated rows
 count as often as they occur; an empty table gives no rows. Other columns are

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, run_starts, shuffle_partitions
+from .common import discard, materialize, mix64, run_starts, shuffle_partitions
 from .simhash import close_pairs, components, majority
 
 BANDS, ROWS = 32, 5
@@ -221,6 +221,7 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, shingle: int =
         a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(c)) for k, c in (("u", "a"), ("v", "b")))
         met = pairs.join(a.hint("shuffle_hash"), "u").join(b.hint("shuffle_hash"), "v").select("u", "v", "a", "b")
         found = materialize(met.mapInArrow(partial(_verify, least=least), "u long, v long"), "links")
+        discard(pairs, sets)
         edges = found if edges is None else edges.unionByName(found)
         if edges.limit(1).count():
             known = components(edges)
@@ -258,4 +259,7 @@ def representatives(docs: DataFrame, *, shingle: int = 5, least: float = 0.8) ->
     else:
         named = nodes.join(known.hint("shuffle_hash"), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
         firsts = named.groupBy("root").agg(F.min("first").alias("first"))
-    return firsts.select(F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark")).distinct()
+    firsts = firsts.select(F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark")).distinct()
+    out = materialize(firsts, "representatives")
+    discard(signed, own, buckets)
+    return out

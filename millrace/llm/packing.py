@@ -12,7 +12,8 @@ sequences are cut to powers of two, which need no padding either.
 Work is one pass over the texts; only the leftovers (at most ``windows``
 sequences a partition) move, and no task sees more than ``fan`` partitions'.
 
-Cases: a null text is empty and holds the end id alone; a null or repeated
+Cases: a null text is empty and holds the end id alone; a text of any length is
+packed whole, over as many sequences as it needs; a null or repeated
 ``doc_id`` is carried as it is, each row being a document of its own; an empty
 table gives no rows. Other columns of the input are not looked at.
 """

@@ -57,7 +57,7 @@ _MET = _PIECES + ", slot int, blob binary"
 #: Bytes of a slot that a task holds to compare; the windows of a larger one are dealt again, one by one.
 MOST_HELD = 64 << 20
 #: Windows settled at once in a batch; bounds a task's memory.
-BATCH_WINDOWS = 1_500_000
+BATCH_WINDOWS = 1_000_000
 
 
 class _WordHashes(dict):
