@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, nearcopies, packing, pii, quality
-from millrace.llm.common import materialize, table
+from millrace.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged by itself, and of identical ones the least row stays, so the result
     is the same on every run.
     """
-    keep = materialize(nearcopies.representatives(docs, shingle=5, least=0.8), "keep")
+    keep = nearcopies.representatives(docs, shingle=5, least=0.8)
     keep = keep.withColumnsRenamed({"rep": "__rep", "mark": "__mark"})
     found = (F.col("doc_id") == F.col("__rep")) & (F.xxhash64("text") == F.col("__mark"))
     # Shuffled at every size: what is kept grows with the input.
@@ -83,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each over what the last one wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
