@@ -77,7 +77,7 @@ CEIL((n_nationkey - 12) / 5e0) = ceil((n_nationkey - 12) / CAST(5 AS DOUBLE))
 CEILING((n_nationkey - 12) / 5e0) = ceil((n_nationkey - 12) / CAST(5 AS DOUBLE))
 FLOOR((n_nationkey - 12) / 5e0) = floor((n_nationkey - 12) / CAST(5 AS DOUBLE))
 TRUNC((n_nationkey - 12) / 5e0) = trunc((n_nationkey - 12) / CAST(5 AS DOUBLE))
-TRUNC(n_nationkey * 1.2345e0, 2) = trunc(n_nationkey * 123.45) / 100
+TRUNC(n_nationkey * 1.125e0, 2) = trunc(n_nationkey * 112.5) / 100
 CAST(TRUNC(NUMERIC '1234567890123456789.123456789', 2) AS STRING) = '1234567890123456789.12'
 i: DIV(n_nationkey, 4) = n_nationkey // 4
 i: MOD(n_nationkey, 4) = n_nationkey % 4

@@ -19,12 +19,12 @@ IS_INF: (abs($1) = double('Infinity'))
 IS_NAN: isnan($1)
 -- arithmetic
 ABS: abs($1)
-SIGN: (case when $1 > 0 then 1 when $1 < 0 then -1 else $1 * 0 end)
-CEIL/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 when $1 % 1 > 0 then $1 - $1 % 1 + 1 else $1 - $1 % 1 end)
-CEILING/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 when $1 % 1 > 0 then $1 - $1 % 1 + 1 else $1 - $1 % 1 end)
-FLOOR/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 % 1 < 0 then $1 - $1 % 1 - 1 else $1 - $1 % 1 end)
-TRUNC/1: (case when abs(double($1)) = double('Infinity') then $1 when $1 > -1 and $1 < 0 then $1 * 0 else $1 - $1 % 1 end)
-TRUNC/2: (case when abs(round($1, $2)) > abs($1) then round(round($1, $2) - (case when $1 < 0 then -1 else 1 end) * $ulp2, $2) else round($1, $2) end)
+SIGN: (case when ($1) > 0 then 1 when ($1) < 0 then -1 else ($1) * 0 end)
+CEIL/1: (case when abs(double($1)) = double('Infinity') then ($1) when ($1) > -1 and ($1) < 0 then ($1) * 0 when ($1) % 1 > 0 then ($1) - ($1) % 1 + 1 else ($1) - ($1) % 1 end)
+CEILING/1: (case when abs(double($1)) = double('Infinity') then ($1) when ($1) > -1 and ($1) < 0 then ($1) * 0 when ($1) % 1 > 0 then ($1) - ($1) % 1 + 1 else ($1) - ($1) % 1 end)
+FLOOR/1: (case when abs(double($1)) = double('Infinity') then ($1) when ($1) % 1 < 0 then ($1) - ($1) % 1 - 1 else ($1) - ($1) % 1 end)
+TRUNC/1: (case when abs(double($1)) = double('Infinity') then ($1) when ($1) > -1 and ($1) < 0 then ($1) * 0 else ($1) - ($1) % 1 end)
+TRUNC/2: (case when abs(round(($1), $2)) > abs($1) then round(round(($1), $2) - (case when ($1) < 0 then -1 else 1 end) * $ulp2, $2) else round(($1), $2) end)
 ROUND/3: (case when upper($3) = 'ROUND_HALF_EVEN' then bround($1, $2) else round($1, $2) end)
 MOD: ($1 % $2)
 DIV: ($1 div $2)
