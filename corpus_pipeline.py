@@ -24,7 +24,9 @@ from millrace.llm.common import discard, materialize, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the rules or the likelihood ratio reject."""
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), prefix="__q_")
-    return judged.where("__q_kept").select(*docs.columns)
+    kept = judged.where("__q_kept").select(*docs.columns)
+    kept.stored_at = judged.stored_at
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,6 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each over what the last one wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(before)
+        made = stage(spark, docs, sf_dir)
+        before, docs = docs, materialize(made, name.replace(" ", "-"))
+        discard(before, made)
     return STAGES[-1][1](spark, docs, sf_dir)

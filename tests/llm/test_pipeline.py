@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import nearcopies, pii, simhash
+from millrace.llm import common, nearcopies, pii, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,33 @@ def test_stages(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_the_quality_stage_counts_every_label(spark, tmp_path):
+    """More labelled rows than any fixed number of them: the stage's threshold is the percentile of all."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"{'good' if rng.random() < (i % 7) / 6 else 'bad'}{rng.randrange(100)}" for _ in range(50))) for i in range(8000)]
+    good = {i: int(rng.random() < (i % 7) / 6) for i, _ in texts}
+    spark.createDataFrame(list(good.items()), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    scores = [g for g in quality.judge(docs, labels, without=("text",)).collect() if not g.base_failed]
+    low, high = (np.quantile([g.score for g in scores if good[g.doc_id] == q], share) for q, share in ((1, 0.01), (0, 0.99)))
+    assert low < high
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert {r[0] for r in kept.select("doc_id").collect()} == {g.doc_id for g in scores if g.score >= low} == {g.doc_id for g in scores if g.kept}
+
+
+def test_toxic_rows_that_are_bad_count(spark):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0), (5, 1, None), (6, 0, None), (7, 1, 0), (7, 0, 1), (8, None, 1), (None, 0, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert dict(quality._labelled(labels).collect()) == {1: True, 3: False, 4: False, 5: True, 6: False, 7: False}
+
+
+def test_the_run_deletes_the_figures(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, SF).count()
+    left = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()]
+    assert "personal-data" in left and not {"figures", "scores", "ratios", "quality-rules"} & set(left)
+
+
 def test_empty_and_awkward_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
