@@ -32,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_shift, lookup, new_path, shuffle_partitions
@@ -93,7 +93,7 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int)
             chunks: list[tuple[bytes, int, bytes]] = []
             docs: list[bytes] = []
             lengths: list[int] = []
-            streams = [enc.encode(text) + tail for text in part["text"].to_pylist()]
+            streams = [ids + tail for ids in enc.encode_all(part["text"].to_pylist())]
             sizes = np.array([len(d) // size for d in streams], np.int64)
             ends = np.cumsum(sizes)
             asked = boundaries(np.frombuffer(b"".join(streams), width))
@@ -132,15 +132,11 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end: int, slots: int)
             )
 
 
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of chunks with one address, which stand next to each other, keep the first."""
-    last = None
-    for batch in batches:
-        keep = []
-        for a in batch["address"].to_pylist():
-            keep.append(a is None or a != last)
-            last = a
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def _once(rows: DataFrame) -> DataFrame:
+    """Of chunks with one address keep one; recipes have none, and all stay."""
+    before = F.lag("address").over(Window.partitionBy("kind", "slot").orderBy("address"))
+    rows = rows.withColumn("before", before)
+    return rows.where(F.col("address").isNull() | ~F.col("address").eqNullSafe(F.col("before"))).drop("before")
 
 
 def leaf_of(doc_id: int | None, refs: bytes) -> bytes:
@@ -196,6 +192,11 @@ def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = int(ends[-1])
 
 
+def _recipe_parts(spark) -> int:
+    """Partitions for recipes: a third of those that hold the chunks, since recipes are short."""
+    return -(-shuffle_partitions(spark) // 3)
+
+
 def write(docs: DataFrame, vocabulary: str, *, end: int = 0, path: str | None = None) -> str:
     """Encode ``docs`` (doc_id, text) into a new store and return its folder."""
     spark = docs.sparkSession
@@ -203,12 +204,12 @@ def write(docs: DataFrame, vocabulary: str, *, end: int = 0, path: str | None =
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.mapInArrow(partial(_encode, path=vocabulary, end=end, slots=64 * parts), _ENC)
-    rows = rows.repartition(parts, "kind", "slot").sortWithinPartitions("kind", "address").mapInArrow(_once, _ENC)
+    rows = _once(rows.repartition(parts, "kind", "slot"))
     rows.drop("slot").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
 
     data = spark.read.schema(_ENC.replace("slot int, ", "")).parquet(f"{path}/data")
     recipes = data.where("kind = 1").select("doc_id", "n", "refs")
-    recipes = recipes.repartitionByRange(parts, "doc_id", "refs").sortWithinPartitions("doc_id", "refs")
+    recipes = recipes.repartitionByRange(_recipe_parts(spark), "doc_id", "refs").sortWithinPartitions("doc_id", "refs")
     recipes = recipes.withColumn("pid", F.spark_partition_id()).mapInArrow(_number, _RECIPES)
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
 
@@ -239,14 +240,13 @@ def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _roots(recipes: DataFrame) -> DataFrame:
     """The manifest: each partition's counts and the root over its recipes in order."""
-    parts = shuffle_partitions(recipes.sparkSession)
     rows = recipes.select("pid", "rel_start", "doc_id", "n_tokens", "refs")
-    rows = rows.repartition(parts, "pid").sortWithinPartitions("pid", "rel_start")
+    rows = rows.repartition(_recipe_parts(recipes.sparkSession), "pid").sortWithinPartitions("pid", "rel_start")
     return rows.mapInArrow(_trees, "pid int, n_docs long, n_tokens long, root binary")
 
 
 def _store_root(spark, path: str) -> bytes:
-    """The root over the manifest's partitions, of which there are as many as shuffle partitions."""
+    """The root over the manifest's partitions, of which there are fewer than shuffle partitions."""
     tree = Tree()
     for r in spark.read.parquet(f"{path}/manifest").orderBy("pid").collect():
         tree.add(address(f"{r.pid}|{r.n_docs}|{r.n_tokens}|".encode() + bytes(r.root)))

@@ -406,6 +406,50 @@ def test_encoder(name):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == full.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("most", [500, 100_000])
+def test_encoder_many_texts(name, most, monkeypatch):
+    """Texts encoded together have the library's ids, whatever is known, forgotten or waiting."""
+    monkeypatch.setattr(tokens, "_MOST_NOTED", 200)
+    enc = tokens.Encoder(public_tokenizers.path(name), most=most)
+    full = Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(3)
+    words = ["".join(r.choice("abcéßSÄ1½.日 ́İ,-'ſ\xa0") for _ in range(r.randrange(1, 7))) for _ in range(600)]
+    texts = ["x <|endoftext|> y", *TEXTS, "\n", " ", "a ", " a", "a\n", "ab\ncd,\nef", "\nab"]
+    texts += ["".join(r.choice(words) + r.choice("   \n") for _ in range(r.randrange(80))) for _ in range(300)]
+    texts += ["  ".join(r.choices(words, k=9)) + "\t\u2003\n \x1c" for _ in range(20)]
+    for _ in range(2):
+        got = enc.encode_all(texts)
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, enc.dtype).tolist() == full.encode(t or "", add_special_tokens=False).ids, t
+    assert enc.encode_all([]) == []
+
+
+def test_encoder_gives_new_words_together():
+    """Words not met before go to the model many at a call, as one piece, and get what each gets alone."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    r = random.Random(4)
+    words = sorted({"".join(r.choices("etaoinéèü", k=r.randrange(3, 12))) for _ in range(3000)})
+    text = "A " + "".join(w + r.choice([" ", ", ", "\n"]) for w in words) + "end"
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    enc = tokens.Encoder(vocab)
+    enc.model = counting = Counting(enc.model)
+    (ids,) = enc.encode_all([text])
+    assert np.frombuffer(ids, enc.dtype).tolist() == Tokenizer.from_file(vocab).encode(text, add_special_tokens=False).ids
+    assert counting.calls < len(words) / 20
+    enc.blanks = enc.line_ends = frozenset()  # as if tokens reached over blanks: one by one
+    enc.tails.clear()
+    assert enc.encode_all([text]) == [ids] and counting.calls > len(words)
+
+
 def test_token_store(spark, docs, empty):
     vocab = public_tokenizers.path("byte_bpe_50k.json")
     path = token_store.write(docs, vocab, end=0)
