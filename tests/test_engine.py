@@ -2,14 +2,16 @@
 
 import datetime
 import itertools
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.python import farm_fingerprint, format_string, initcap, instr
-from millrace.operators import aggregation, dml, graph, match, relational, timeseries
+from millrace.operators import aggregation, dml, graph, match, nearest, relational, timeseries, vectors
 from millrace.plans import dialect
 
 
@@ -307,3 +309,72 @@ def test_having_extreme_keeps_groups_without_values(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", None, 1)], "k string, y int, v int")
     got = rows(aggregation.having_extreme(df, ["k"], F.col("y"), {"n": F.count("v"), "s": F.sum("v")}))
     assert got == [("a", 1, 7), ("b", 0, None)]
+
+
+def _plain_search(base, queries, k, distance):
+    """Every pair, in Catalyst."""
+    score = vectors.DISTANCES[distance](F.col("v"), F.col("q"))
+    met = base.join(queries.withColumnRenamed("v", "q").withColumnRenamed("id", "query_id").drop("tag"), F.size("v") == F.size("q"))
+    met = met.select("query_id", "tag", "id", score.alias("distance"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "tag", "id"))).where(f"rank <= {k}")
+
+
+@pytest.mark.parametrize("distance", list(vectors.DISTANCES))
+@pytest.mark.parametrize("many", [1, 1 << 30])
+def test_vector_search_on_ties_nulls_and_extremes(spark, monkeypatch, distance, many):
+    """The same rows, ranks and distances, to the last bit, as all pairs compared one by one."""
+    monkeypatch.setattr(vectors, "MANY_QUERIES", many)
+    rng = random.Random(5)
+    made = [[float(rng.randint(-1, 1)) for _ in range(2)] + [1.0] for _ in range(150)]  # most are equal to others
+    made += [[1000 + rng.random() * 1e-4 for _ in range(3)] for _ in range(50)]  # differences below single precision
+    made += [[rng.gauss(0, 1) for _ in range(n)] for n in [3, 5] * 40]
+    made += [None, [None, 1.0, 2.0], [math.nan, 1.0, 2.0], [math.inf, 1.0, 2.0], [-math.inf, 1.0, 2.0], [1e200, 1.0, 2.0], [1e-30, 1.0, 0.0]]
+    rng.shuffle(made)
+    base = spark.createDataFrame([(rng.choice([None, "a", "b"]), i, v) for i, v in enumerate(made)], "tag string, id long, v array<double>").repartition(3).cache()
+    for k, queries in ((4, base.where("id % 3 = 0")), (200, base.where("id % 20 = 0 OR v[0] IS NULL OR abs(v[0]) > 1e100"))):
+        got = vectors.vector_search(base, queries, "v", "v", "id", top_k=k, distance=distance)
+        assert got.columns == ["query_id", "tag", "id", "distance", "rank"]
+        assert repr(rows(got)) == repr(rows(_plain_search(base, queries, k, distance)))  # NaN is equal to NaN there
+    blocks = vectors.vector_search(base, queries, "v", "v", "id", top_k=4, distance=distance, block_bytes=500)
+    assert repr(rows(blocks)) == repr(rows(_plain_search(base, queries, 4, distance)))
+    base.unpersist()
+
+
+def test_vector_search_of_vectors_without_length(spark):
+    base = spark.createDataFrame([(None, 1, [0.0, 0.0]), (None, 2, [1.0, 0.0])], "tag string, id long, v array<float>")
+    with pytest.raises(Exception, match="without length"):
+        vectors.vector_search(base, base, "v", "v", "id", top_k=1).collect()
+
+
+def test_vector_search_does_not_compare_pairs_one_by_one(spark):
+    """24 million pairs; one by one they took more than a minute."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda c: F.cos(F.col("id") * F.sqrt(c) * 7.3).cast("float"))
+    base = spark.range(12_000).select("id", vector.alias("v")).cache()
+    base.count()
+    began = time.perf_counter()
+    got = vectors.vector_search(base, base.where("id < 2000"), "v", "v", "id", top_k=3, distance="EUCLIDEAN").collect()
+    assert time.perf_counter() - began < 25
+    assert len(got) == 6000
+    assert all(r["id"] == r["query_id"] and r["distance"] == 0 for r in got if r["rank"] == 1)
+    x = {r["id"]: r["v"] for r in base.where("id % 40 = 0 OR id < 5").collect()}
+    last = {r["query_id"]: r["distance"] for r in got if r["rank"] == 3 and r["query_id"] < 5}
+    found = {(r["query_id"], r["id"]) for r in got}
+    assert len(last) == 5
+    assert all(math.dist(x[q], v) >= last[q] for q in last for i, v in x.items() if (q, i) not in found)
+    base.unpersist()
+
+
+def test_one_vector_in_many_rows_makes_few_pairs(monkeypatch):
+    """Of equal rows, each slab sends on as many as can be among the best."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Packed:
+        value = nearest.pack(pa.table({"id": list(range(50)), "v": pa.array([[1.0, 2.0]] * 50, pa.list_(pa.float32()))}))
+
+    pairs, measure = [], nearest.measure
+    monkeypatch.setattr(nearest, "measure", lambda kind, a, b, ansi: pairs.append(len(a)) or measure(kind, a, b, ansi))
+    batch = pa.record_batch({"id": np.arange(3000), "v": pa.array([[1.0, 2.0]] * 3000, pa.list_(pa.float32()))})
+    out = pa.Table.from_batches(nearest.nearest([batch], packed=Packed, kind="EUCLIDEAN", k=2, ansi=True))
+    assert sum(pairs) <= 2
+    assert out.sort_by([("query_id", "ascending"), ("id", "ascending")])["id"].to_pylist() == [0, 1] * 50
